@@ -5,8 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import chat, secrets, sharding
-from panelmill.llm.common import table
+from panelmill.llm import chat, idstore, packing, quality, secrets, sharding
+from panelmill.llm.common import fold, table
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), allowed=fold() != 0)
+    scored = docs.select(F.col("doc_id"), (fold() == 0).alias("held_out"), quality.score(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +70,13 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digests(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op9_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = idstore.write_ids(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return idstore.read_ids(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict:
-    return {"op3_sharding": op3_sharding, "op6_chat": op6_chat, "op8_secrets": op8_secrets}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op9_idstore": op9_idstore, "op3_sharding": op3_sharding, "op6_chat": op6_chat, "op8_secrets": op8_secrets}
 
 
 def oracle_sql() -> dict[str, str]:

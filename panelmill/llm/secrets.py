@@ -16,10 +16,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from panelmill.llm.common import text_or_empty
 
@@ -118,9 +120,6 @@ def _redacted(texts):
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The same rows and columns, with the secrets in ``text`` replaced by markers; null texts stay null."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("string")
     def redacted(texts: pd.Series) -> pd.Series:
         return pd.Series(_redacted(texts), index=texts.index, dtype=object)
