@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import chat, idstore, packing, quality, secrets, sharding
+from panelmill.llm import chat, idstore, neardup, packing, quality, secrets, sharding, vectors
 from panelmill.llm.common import fold, table
 
 
@@ -29,17 +29,29 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sharded = sharding.shard_records(table(spark, sf_dir, "documents"), shards=40)
+    docs = table(spark, sf_dir, "documents")
+    written = sharding.write_shards(docs, sharding.shared_dir(spark), shards=40)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return sharded.select(
+    # The digests are taken before the slots are joined, so the texts do not move a second time.
+    digests = written.select(
         "doc_id",
         (F.octet_length(text) + sharding.ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"),
         "shard",
-        "slot",
+        "bucket",
+        "place",
         sharding.shard_of("doc_id", 41, 20240229).alias("grown_shard"),
     )
+    return sharding.with_slots(digests).drop("bucket", "place")
+
+
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 #: A conversation whose texts hold the control strings of common templates.
@@ -76,7 +88,7 @@ def op9_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op9_idstore": op9_idstore, "op3_sharding": op3_sharding, "op6_chat": op6_chat, "op8_secrets": op8_secrets}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op9_idstore": op9_idstore, "op3_sharding": op3_sharding, "op5_neardup": op5_neardup, "op7_vectors": op7_vectors, "op6_chat": op6_chat, "op8_secrets": op8_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
