@@ -7,8 +7,9 @@ are one node with a count, so groups of copies are never expanded into pairs; a
 BLOCK is dealt over pairs of blocks. A pair that shares several lists counts in the one of its least
 common pivot. Tasks return sums and local roots, never pairs.
 
-The pivots are a bounded sample (at most MOST_PIVOTS vectors, the first by a seeded hash); their number
-grows with the square root of the number of vectors. Every vector is indexed.
+The pivots are a bounded sample (at most MOST_PIVOTS vectors out of twice as many, the first by a
+seeded hash, none within a cosine of 0.9 of another); their number grows with the square root of the
+number of vectors. Every vector is indexed.
 
 Defined results: null labels, null, empty or zero vectors and those with null or non-finite
 components link with nothing and stand alone; vectors of different lengths do not link; rows with an
@@ -111,15 +112,27 @@ def _links_in(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def choose_pivots(nodes: DataFrame, seed: int = 3) -> dict[int, np.ndarray]:
-    """Pivots for each length of vectors. At most MOST_PIVOTS vectors of a length come to the driver."""
+    """Pivots for each length of vectors. At most twice MOST_PIVOTS vectors of a length come to the driver."""
     out = {}
     for width, n in nodes.groupBy("width").count().collect():
         number = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 * np.sqrt(n))))
-        rows = nodes.where(F.col("width") == width).orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(number).select("embedding").toArrow()
-        out[width] = unit_rows(rows.column("embedding").combine_chunks(), width)
+        rows = nodes.where(F.col("width") == width).orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(2 * number).select("embedding").toArrow()
+        out[width] = apart(unit_rows(rows.column("embedding").combine_chunks(), width))[:number]
     return out
 
 
+def apart(units: np.ndarray, most: float = 0.9) -> np.ndarray:
+    """The rows that no earlier kept row is nearer to than a cosine. Pivots within a group of near copies
+    would order themselves differently for each of its vectors."""
+    kept = np.empty_like(units)
+    n = 0
+    for row in units:
+        if not n or (kept[:n] @ row).max() < most:
+            kept[n] = row
+            n += 1
+    return kept[:n]
+
+
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
