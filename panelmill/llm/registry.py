@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import chat, idstore, neardup, packing, quality, secrets, sharding, vectors
+from panelmill.llm import chat, decontaminate, idstore, neardup, packing, quality, secrets, sharding, vectors
 from panelmill.llm.common import fold, table
 
 
@@ -46,6 +46,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_slots(digests).drop("bucket", "place")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -88,7 +92,7 @@ def op9_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op9_idstore": op9_idstore, "op3_sharding": op3_sharding, "op5_neardup": op5_neardup, "op7_vectors": op7_vectors, "op6_chat": op6_chat, "op8_secrets": op8_secrets}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op9_idstore": op9_idstore, "op3_sharding": op3_sharding, "op4_decontaminate": op4_decontaminate, "op5_neardup": op5_neardup, "op7_vectors": op7_vectors, "op6_chat": op6_chat, "op8_secrets": op8_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
