@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import chat, decontaminate, idstore, neardup, packing, quality, secrets, sharding, vectors
+from panelmill.llm import chat, decontaminate, idstore, language_model, neardup, packing, quality, secrets, sharding, vectors
 from panelmill.llm.common import fold, table
 
 
@@ -91,8 +91,12 @@ def op9_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.read_ids(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op9_idstore": op9_idstore, "op3_sharding": op3_sharding, "op4_decontaminate": op4_decontaminate, "op5_neardup": op5_neardup, "op7_vectors": op7_vectors, "op6_chat": op6_chat, "op8_secrets": op8_secrets}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op9_idstore": op9_idstore, "op10_language_model": op10_language_model, "op3_sharding": op3_sharding, "op4_decontaminate": op4_decontaminate, "op5_neardup": op5_neardup, "op7_vectors": op7_vectors, "op6_chat": op6_chat, "op8_secrets": op8_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
