@@ -65,7 +65,10 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 20240
 
 
 def with_slots(sharded: DataFrame) -> DataFrame:
-    """Add slot: the record's place in its shard, gapless from 0."""
+    """Add slot: the record's place in its shard, gapless from 0.
+
+    The join moves every column it is given, so drop or digest texts that are not needed first.
+    """
     counts = sharded.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
