@@ -6,15 +6,17 @@ Rows without enough history give null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-CODE = Window.partitionBy("code").orderBy("date")
+def by_code() -> WindowSpec:
+    """The bars of an instrument in order of date."""
+    return Window.partitionBy("code").orderBy("date")
 
 
 def last_n(n: int, until: int = 0):
     """The n rows that end until rows before the current one."""
-    return CODE.rowsBetween(-(n - 1) - until, -until)
+    return by_code().rowsBetween(-(n - 1) - until, -until)
 
 
 def full(value: Column, n: int, row: str = "n") -> Column:
@@ -27,7 +29,7 @@ def sma(column: str, n: int) -> Column:
 
 
 def lag(column: str, n: int) -> Column:
-    return F.lag(column, n).over(CODE)
+    return F.lag(column, n).over(by_code())
 
 
 def true_range() -> Column:

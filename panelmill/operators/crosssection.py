@@ -5,24 +5,26 @@ Each one partitions by date, so cross-sections of different dates are computed s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelmill.functions.windows import percentile_rank
 
 FLOOR = 1e-8
-DATE = Window.partitionBy("date")
+def by_date() -> WindowSpec:
+    """The instruments of one date."""
+    return Window.partitionBy("date")
 
 
 def zscore(value: str) -> Column:
     """(x - mean) / population deviation of its date; the deviation is at least 1e-8."""
-    return (F.col(value) - F.avg(value).over(DATE)) / F.greatest(F.stddev_pop(value).over(DATE), F.lit(FLOOR))
+    return (F.col(value) - F.avg(value).over(by_date())) / F.greatest(F.stddev_pop(value).over(by_date()), F.lit(FLOOR))
 
 
 def neutralised(df: DataFrame, value: str, group: str = "industry_group") -> DataFrame:
     """Add neutral: value less its group's mean (the date's mean for a group of one), as a z-score."""
     own = Window.partitionBy("date", group)
-    df = df.withColumn("__d", F.col(value) - F.when(F.count(F.lit(1)).over(own) >= 2, F.avg(value).over(own)).otherwise(F.avg(value).over(DATE)))
+    df = df.withColumn("__d", F.col(value) - F.when(F.count(F.lit(1)).over(own) >= 2, F.avg(value).over(own)).otherwise(F.avg(value).over(by_date())))
     return df.withColumn("neutral", zscore("__d")).drop("__d")
 
 
@@ -49,8 +51,8 @@ def ic_summary(ic: DataFrame, recent: int = 26) -> DataFrame:
 
 def top_quartile_turnover(df: DataFrame, value: str, share: float = 0.25) -> DataFrame:
     """Half the sum of absolute weight changes of the equal-weight top share, by date (the first date has none)."""
-    rank = F.row_number().over(DATE.orderBy(F.desc(value), "code"))
-    held = df.withColumn("rk", rank).withColumn("k", F.ceil(F.count(F.lit(1)).over(DATE) * share)).where("rk <= k").select("date", "code", (1 / F.col("k")).alias("w"))
+    rank = F.row_number().over(by_date().orderBy(F.desc(value), "code"))
+    held = df.withColumn("rk", rank).withColumn("k", F.ceil(F.count(F.lit(1)).over(by_date()) * share)).where("rk <= k").select("date", "code", (1 / F.col("k")).alias("w"))
     number = df.select("date").distinct().withColumn("t", F.row_number().over(Window.orderBy("date")))  # one row a date
     held = held.join(number, "date").select("code", "w", "t")
     # A weight acts at its own date (entering) and, negated, at the next one (leaving); their sum is the change.

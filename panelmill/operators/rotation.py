@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmill.functions.windows import CODE, clip, last_n, percentile_rank
+from panelmill.functions.windows import by_code, clip, last_n, percentile_rank
 
 #: Features and weights of the score, before they are normalised.
 SLICE_WEIGHTS = [("momentum_20", 0.30), ("trend_efficiency_20", 0.14), ("volume_confirmation", 0.10)]
@@ -51,8 +51,8 @@ def relative_strength(bars: DataFrame, bench: DataFrame) -> DataFrame:
     sqrt(var_a + beta^2 var_b - 2 beta cov), so no residual series is built for each row.
     """
     rows = bars.select("code", "date", "close").join(bench, "date")
-    lag = lambda c, n: F.lag(c, n).over(CODE)
-    rows = rows.withColumns({"ra": F.col("close") / lag("close", 1) - 1, "rb": F.col("bench") / lag("bench", 1) - 1, "m": F.row_number().over(CODE), "t": F.count(F.lit(1)).over(Window.partitionBy("code"))})
+    lag = lambda c, n: F.lag(c, n).over(by_code())
+    rows = rows.withColumns({"ra": F.col("close") / lag("close", 1) - 1, "rb": F.col("bench") / lag("bench", 1) - 1, "m": F.row_number().over(by_code()), "t": F.count(F.lit(1)).over(Window.partitionBy("code"))})
     rows = rows.withColumn("beta", beta())
     for n in HORIZON_WEIGHTS:
         w, b = last_n(max(60, n)), F.col("beta")

@@ -25,7 +25,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.groupBy("code", "week").agg(*[F.max_by(c, "date").alias(c) for c in ("close", "n", *PRIMITIVES)]).where("n >= 61")
     group = F.concat(F.lit("g"), (F.regexp_extract("code", r"(\d+)", 1).cast("int") % 6).cast("string"))
     rows = rows.select("code", F.col("week").alias("date"), group.alias("industry_group"), "close", *[F.round(c, 9).alias(c) for c in PRIMITIVES])
-    return rows.withColumn("forward", F.round(F.lead("close").over(W.CODE) / F.col("close") - 1, 9))
+    return rows.withColumn("forward", F.round(F.lead("close").over(W.by_code()) / F.col("close") - 1, 9))
 
 
 PANEL = f"""wk AS (SELECT code, date_trunc('week', date)::DATE AS week, {', '.join(f'arg_max({c}, date) AS {c}' for c in ('close', 'n', *PRIMITIVES))} FROM pr GROUP BY 1, 2),

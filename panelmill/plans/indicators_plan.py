@@ -75,7 +75,7 @@ PRIOR_SQL = with_(BARS) + f"""SELECT code, date, max(high) {over(20, 1)} AS high
 def volume_price_slope(spark, sf_dir):
     """Least-squares slopes over six bars in closed form: positions 0..5 are fixed, so weights are too."""
     rows = B.numbered_bars(spark, sf_dir)
-    slope = lambda c: W.full(sum((5 - 2 * k) * F.lag(c, k).over(W.CODE) for k in range(6)) / 35, 6)
+    slope = lambda c: W.full(sum((5 - 2 * k) * F.lag(c, k).over(W.by_code()) for k in range(6)) / 35, 6)
     price, volume = slope("close"), slope("volume")
     return rows.withColumns({"p": price, "v": volume}).select("code", "date", F.round("p", 6).alias("price_slope"), F.round("v", 6).alias("volume_slope"), ((F.col("p") > 0) & (F.col("v") < 0)).alias("thinning"))
 
@@ -172,7 +172,7 @@ PRIM_SQL = with_(BARS, PRIM) + f"SELECT code, date, {', '.join(f'round({c}, 6) A
 
 
 def drawdown_curve(spark, sf_dir):
-    rows = B.numbered_bars(spark, sf_dir).withColumn("peak", F.max("close").over(W.CODE.rowsBetween(W.Window.unboundedPreceding, 0)))
+    rows = B.numbered_bars(spark, sf_dir).withColumn("peak", F.max("close").over(W.by_code().rowsBetween(W.Window.unboundedPreceding, 0)))
     return rows.select("code", "date", F.round(F.col("close") / F.col("peak") - 1, 6).alias("drawdown"), (F.col("close") < F.col("peak")).alias("under_water"))
 
 
@@ -181,8 +181,8 @@ DRAWDOWN_SQL = with_(BARS) + f"SELECT code, date, round(close / peak - 1, 6) AS
 
 def longest_underwater(spark, sf_dir):
     """Longest run of sessions below the peak: runs are islands between new peaks."""
-    rows = B.numbered_bars(spark, sf_dir).withColumn("peak", F.max("close").over(W.CODE.rowsBetween(W.Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("island", F.sum((F.col("close") >= F.col("peak")).cast("int")).over(W.CODE))
+    rows = B.numbered_bars(spark, sf_dir).withColumn("peak", F.max("close").over(W.by_code().rowsBetween(W.Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("island", F.sum((F.col("close") >= F.col("peak")).cast("int")).over(W.by_code()))
     runs = rows.groupBy("code", "island").agg(F.count_if(F.col("close") < F.col("peak")).alias("length"))
     return runs.groupBy("code").agg(F.max("length").alias("longest"))
 
