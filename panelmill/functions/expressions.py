@@ -86,4 +86,4 @@ def column(tree: Tree, leaf=F.col) -> Column:
         "min": lambda: F.least(a, b),
         "max": lambda: F.greatest(a, b),
     }[op]()
-    return F.coalesce(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.nanvl(made, F.lit(0.0)))), F.lit(0.0))
+    return F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.coalesce(F.nanvl(made, F.lit(0.0)), F.lit(0.0))))

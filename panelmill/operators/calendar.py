@@ -36,7 +36,7 @@ def weekdays_between(start: Column, end: Column) -> Column:
     """Weekdays after start up to and including end; 999 if there is no start. Closed form, no sequence."""
     ordinal = lambda d: F.datediff(d, F.lit("1970-01-05").cast("date"))  # a Monday
     upto = lambda d: F.floor(ordinal(d) / 7) * 5 + F.least(F.pmod(ordinal(d), F.lit(7)) + 1, F.lit(5))
-    return F.coalesce(F.greatest(upto(end) - upto(start), F.lit(0)), F.lit(999)).cast("bigint")
+    return F.when(start.isNull() | end.isNull(), 999).otherwise(F.greatest(upto(end) - upto(start), F.lit(0))).cast("bigint")
 
 
 def session_number(calendar: DataFrame) -> DataFrame:
