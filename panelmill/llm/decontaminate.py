@@ -19,6 +19,7 @@ a repeated row is searched each by itself; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -32,6 +33,7 @@ from panelmill.llm.common import text_or_empty
 
 RATE, LEAST_CHARS = 0.05, 24
 GROUP_CHARS = 8_000_000
+_SPACE = re.compile(r"[^\S ]")
 LEAKS = "doc_id long, item_id long, begin long, end long, distance int"
 
 
@@ -40,10 +42,7 @@ def normal(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    return low if low.isprintable() else "".join(" " if c.isspace() else c for c in low) if not low.isascii() else low.translate(_SPACES)
-
-
-_SPACES = {ord(c): " " for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"}
+    return _SPACE.sub(" ", low)
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:

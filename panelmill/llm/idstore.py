@@ -38,7 +38,7 @@ GAMMA, MOST_LEVELS = 2.0, 40
 #: Ids that a task holds before it closes a shard.
 SHARD_IDS = 16 << 20
 MANIFEST = "part int, seq int, file string, rows long, ids long"
-READ = "doc_id long, local_start long, n_tokens long, ids binary, part int, seq int"
+READ = "doc_id long, start long, n_tokens long, ids binary"
 
 
 def _spread(keys: np.ndarray, level: int) -> np.ndarray:
@@ -220,8 +220,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids = [np.frombuffer(shard.read(r, r + 1), dtype=f"<u{shard.width}").astype("<u4").tobytes() for r in part.tolist()]
                 key = pa.array(named[at : at + 512], mask=part < shard.nulls)
                 size = np.diff(shard.offsets)[part]
-                fixed = [pa.array([item[k]] * len(part), pa.int32()) for k in ("part", "seq")]
-                yield pa.RecordBatch.from_arrays([key, pa.array(shard.offsets[part]), pa.array(size), pa.array(ids, pa.binary()), *fixed], ["doc_id", "local_start", "n_tokens", "ids", "part", "seq"])
+                yield pa.RecordBatch.from_arrays([key, pa.array(item["base"] + shard.offsets[part]), pa.array(size), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
 
 def _within(counts: np.ndarray) -> np.ndarray:
@@ -234,7 +233,5 @@ def read_ids(manifest: DataFrame) -> DataFrame:
     Only the manifest, one row per shard of up to SHARD_IDS ids, passes through the ordered window.
     """
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select("part", "seq", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    files = manifest.select("part", "seq", "file").repartition(partitions(manifest.sparkSession), "part", "seq")
-    rows = files.mapInArrow(_read, READ)
-    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    files = manifest.select("part", "seq", "file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
+    return files.repartition(partitions(manifest.sparkSession), "part", "seq").mapInArrow(_read, READ)

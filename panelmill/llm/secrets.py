@@ -32,7 +32,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # whole runs of 24 or more: the same spans a
 KINDS = {"assign": 0, "access": 1, "hex": 2, "novel": 3}
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
-SENSITIVE = re.compile(r"(?:credential|bearer|authorization|private|auth|signature|cookie|session|access|client|webhook|passphrase|key|secret|token|pwd)[a-z_]{0,16}[\"']?\x20{0,3}[:=]?\x20{0,3}[\"']?([A-Za-z0-9+/_=-]{16,512})", re.I | re.A)
+SENSITIVE = re.compile(r"(?:credential|bearer|authorization|private|auth|signature|cookie|session|access|client|webhook|passphrase|key|secret|token|pwd)[a-z_]{0,16}[\"']?\x20{0,3}[:=]?\x20{0,3}[\"']?([A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{14,510}[A-Za-z0-9+/_=-])", re.I | re.A)
 #: Context on either side of a candidate, in characters, and bytes per character from which it is novel.
 CONTEXT, NOVEL = 160, 0.62
 DICTIONARY = " ".join(

@@ -3,13 +3,14 @@
 Byte-pair encoders treat the text between two cuts independently when no match of their
 pre-tokenizer crosses the cut. Both vocabularies used here have that property at a single space
 between two non-space characters, so the ids of a text are the ids of its pieces in order. Pieces
-repeat, so each Python worker remembers the ids that the library returned for a piece.
+repeat, so each Python worker remembers the ids that the library returned for a piece. New pieces
+are cut once more where the pre-tokenizer always cuts, so that a word with another mark behind it or
+in other case needs no new call.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -17,6 +18,9 @@ import numpy as np
 ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 #: Pieces beyond this length are encoded but not remembered.
 LONGEST_REMEMBERED = 64
+#: Marks that may close a word, and characters outside of which lower case is the same for every library.
+CLOSING = ".,;:!?%&$*#|)]}\"'-"
+BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
@@ -27,7 +31,7 @@ class PieceEncoder:
     with that space; otherwise white space only separates and is dropped.
     """
 
-    def __init__(self, path: str, keeps_space: bool, remembered: int = 700_000):
+    def __init__(self, path: str, keeps_space: bool, remembered: int = 1_100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -37,6 +41,7 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
         self.keeps_space, self.remembered = keeps_space, remembered
         self.known: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark, self.mark_id = special[-1] if special else ("", -1)
 
@@ -44,9 +49,8 @@ class PieceEncoder:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces. A special token between them, which plain pieces never yield, marks the cuts."""
-        lead = " " if self.keeps_space else ""
+    def _library(self, pieces: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of pieces from the library. A special token between them, which plain pieces never yield, marks the cuts."""
         plain = [p for p in pieces if "<|" not in p] if self.mark else []
         out = {}
         for at in range(0, len(plain), 4096):
@@ -65,6 +69,36 @@ class PieceEncoder:
                 out[p] = self.whole(lead + p)
         return out
 
+    def _atoms(self, line: str, begins: bool) -> tuple:
+        """A new line of a piece as one or two parts that the pre-tokenizer never joins: (begins the piece, part).
+
+        The cut lies between a Latin letter and closing marks other than an apostrophe. Where case is
+        dropped anyway, Latin text is lower-cased.
+        """
+        if not self.keeps_space and (line.isascii() or not BEYOND_LATIN.search(line)):
+            line = line.lower()
+        base = line.rstrip(CLOSING)
+        if base and len(base) < len(line) and line[len(base)] != "'" and base[-1].isalpha() and not BEYOND_LATIN.match(base[-1]):
+            return (begins, base), (False, line[len(base) :])
+        return ((begins, line),)
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember the ids of new pieces. A newline between two other characters is a part of its own."""
+        plans = {}
+        for p in pieces:
+            if "\n" in p and p.count("\n") == 1 and p[0] != "\n" and p[-1] != "\n":
+                head, tail = p.split("\n")
+                plans[p] = (*self._atoms(head, True), (False, "\n"), *self._atoms(tail, False))
+            else:
+                plans[p] = self._atoms(p, True)
+        atoms = {a for plan in plans.values() for a in plan}
+        for begins, known, lead in ((True, self.known, " " if self.keeps_space else ""), (False, self.inner, "")):
+            known.update(self._library([a for b, a in atoms if b is begins and a not in known], lead))
+        known, inner = self.known, self.inner
+        for p, plan in plans.items():
+            if p not in known:
+                known[p] = b"".join([known[a] if b else inner[a] for b, a in plan])
+
     def _cut(self, text: str) -> list[str] | None:
         """Pieces of a text (behind its first piece, if spaces are kept), or None if only the whole is safe."""
         if ODD_SPACE.search(text):
@@ -76,28 +110,28 @@ class PieceEncoder:
         return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.remembered:
+            self.known.clear()
+        if len(self.inner) > self.remembered:
+            self.inner.clear()
         cuts = [self._cut(t) for t in texts]
-        bodies = [c[1:] if self.keeps_space else c for c in cuts if c]
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        new = set(filterfalse(known.__contains__, chain.from_iterable(bodies)))
-        once: dict[str, bytes] = {}
+        bodies = [c[1:] if c and self.keeps_space else c for c in cuts]
+        found = [list(map(self.known.get, b)) if b else [] for b in bodies]
+        open_ = [i for i, ids in enumerate(found) if None in ids]
+        new = {p for i in open_ for p, ids in zip(bodies[i], found[i], strict=True) if ids is None}
         if new:
-            learned = self._learn(sorted(new))
-            once = {p: ids for p, ids in learned.items() if len(p) > LONGEST_REMEMBERED}
-            known.update(learned)
-        out, rest = [], iter(bodies)
-        for text, cut in zip(texts, cuts, strict=True):
+            self._learn(new)
+            for i in open_:
+                found[i] = [self.known[p] if ids is None else ids for p, ids in zip(bodies[i], found[i], strict=True)]
+        out = []
+        for text, cut, ids in zip(texts, cuts, found, strict=True):
             if cut is None:
                 out.append(self.whole(text) if text else b"")
-            elif not cut:
-                out.append(b"")
             else:
-                ids = b"".join(map(known.__getitem__, next(rest)))
-                out.append(self.whole(cut[0]) + ids if self.keeps_space else ids)
-        for p in once:
-            known.pop(p, None)
+                out.append(b"".join(ids) if not (cut and self.keeps_space) else self.whole(cut[0]) + b"".join(ids))
+        for p in new:
+            if len(p) > LONGEST_REMEMBERED:
+                self.known.pop(p, None)
         return out
 
 
