@@ -11,6 +11,7 @@ in other case needs no new call.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -21,6 +22,9 @@ LONGEST_REMEMBERED = 64
 #: Marks that may close a word, and characters outside of which lower case is the same for every library.
 CLOSING = ".,;:!?%&$*#|)]}\"'-"
 BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: How byte-level vocabularies write the bytes that are not printable: as characters from 256 on, in order.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_FORM = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
@@ -39,6 +43,7 @@ class PieceEncoder:
         self.splitter = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
+        self.typecode = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.keeps_space, self.remembered = keeps_space, remembered
         self.known: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {}
@@ -51,8 +56,16 @@ class PieceEncoder:
 
     def _library(self, pieces: list[str], lead: str) -> dict[str, bytes]:
         """Ids of pieces from the library. A special token between them, which plain pieces never yield, marks the cuts."""
-        plain = [p for p in pieces if "<|" not in p] if self.mark else []
-        out = {}
+        out, other = {}, []
+        for p in pieces:
+            if p.isalpha() and (p.isascii() or not BEYOND_LATIN.search(p)):
+                # Latin letters are one pre-token and need no normalizing, so the model can be asked directly.
+                form = lead + p
+                ids = [t.id for t in self.tokenizer.model.tokenize(form.replace(" ", "\u0120") if p.isascii() else form.encode().decode("latin-1").translate(BYTE_FORM))]
+                out[p] = array(self.typecode, ids).tobytes()
+            else:
+                other.append(p)
+        plain = [p for p in other if "<|" not in p] if self.mark else []
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
             text = self.mark.join([lead + p for p in part])
@@ -84,20 +97,27 @@ class PieceEncoder:
 
     def _learn(self, pieces: set[str]) -> None:
         """Remember the ids of new pieces. A newline between two other characters is a part of its own."""
-        plans = {}
+        known, inner, plans, first, later = self.known, self.inner, {}, set(), set()
         for p in pieces:
             if "\n" in p and p.count("\n") == 1 and p[0] != "\n" and p[-1] != "\n":
                 head, tail = p.split("\n")
-                plans[p] = (*self._atoms(head, True), (False, "\n"), *self._atoms(tail, False))
+                plan = (*self._atoms(head, True), (False, "\n"), *self._atoms(tail, False))
             else:
-                plans[p] = self._atoms(p, True)
-        atoms = {a for plan in plans.values() for a in plan}
-        for begins, known, lead in ((True, self.known, " " if self.keeps_space else ""), (False, self.inner, "")):
-            known.update(self._library([a for b, a in atoms if b is begins and a not in known], lead))
-        known, inner = self.known, self.inner
+                plan = self._atoms(p, True)
+                if len(plan) == 1 and plan[0][1] == p:
+                    first.add(p)
+                    continue
+            plans[p] = plan
+            for begins, atom in plan:
+                if begins:
+                    if atom not in known:
+                        first.add(atom)
+                elif atom not in inner:
+                    later.add(atom)
+        known.update(self._library(list(first), " " if self.keeps_space else ""))
+        inner.update(self._library(list(later), ""))
         for p, plan in plans.items():
-            if p not in known:
-                known[p] = b"".join([known[a] if b else inner[a] for b, a in plan])
+            known[p] = b"".join([known[a] if b else inner[a] for b, a in plan])
 
     def _cut(self, text: str) -> list[str] | None:
         """Pieces of a text (behind its first piece, if spaces are kept), or None if only the whole is safe."""
