@@ -13,8 +13,10 @@ alignment runs bit-parallel inside the band. A class is a connected set of links
 
 Copies of a text (equal words) are one node, so groups of copies are never expanded into pairs. In a
 bucket of candidates every node is first aligned with a leader, the node whose sketches are most
-common, rather than with every other one. After that, what still lies in different components is
-compared pair by pair, without a cap, where lengths allow the similarity at all and the sketches of the two agree often enough.
+common, rather than with every other one. Where a bucket still spans several components, the nodes
+outside its largest component are compared with all nodes of the bucket, in blocks and without a cap: a matrix
+product of folded k-mer counts, which is never below the number of shared k-mers, rules pairs out, and
+the alignment decides on the others.
 
 Defined results: a null text is empty; texts without words are copies only if their characters are
 equal; a text below five words is one k-mer; rows with equal doc_id are judged each by itself; a
@@ -39,6 +41,8 @@ from panelmill.llm.words import U64, hashed_words, mix, shingles, string_parts
 
 KMER, SIMILARITY = 5, 0.8
 SKETCHES, LEAST = 24, 5
+#: Nodes of a bucket on either side of one comparison, and numbers in one matrix of it.
+BLOCK, TILE = 1024, 1 << 22
 SKETCHED = "key long, kmers int, words binary, sketches array<long>"
 _RNG = np.random.default_rng(5)
 _ODD = _RNG.integers(0, 2**63, SKETCHES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -177,35 +181,83 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-#: Sketches in which a pair has to agree before the second pass aligns it; a pair of similarity 0.8 agrees in about 8 of 24.
-AGREE = 2
-
-
 def near_classes(sketches: DataFrame) -> DataFrame:
     """(key, root) for content keys that have near duplicates; sketches: origin, key, kmers, words, sketches."""
     first = sketches.groupBy("key").agg(F.min("origin").alias("origin"))
-    nodes = sketches.select("origin", "kmers", "words", "sketches").join(first, "origin")
-    buckets = nodes.select("key", "kmers", F.posexplode("sketches").alias("at", "bucket")).drop("at")
+    nodes = sketches.select("origin", "words", "sketches").join(first, "origin")
+    buckets = nodes.select("key", F.explode("sketches").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = stored(buckets.join(sizes, "bucket"))
     common = shared.groupBy("key").agg(F.sum("members").alias("common"))
     leader = shared.join(common, "key").groupBy("bucket").agg(F.max(F.struct("common", "key"))["key"].alias("leader"))
     led = shared.join(leader, "bucket").where(F.col("key") != F.col("leader")).select(*_ordered("key", "leader")).distinct()
-    tried = stored(led)
-    links = verified(tried, nodes)
+    links = verified(stored(led), nodes)
     roots = connected(links)
-    # What the leaders left in different components.
-    placed = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket")
-    open_ = stored(placed.join(mixed, "bucket").select("bucket", "key", "kmers", "root"))
-    l, r = (open_.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "kmers", "root")]) for s in "lr")
-    fits = (F.col("key_l") < F.col("key_r")) & (F.col("root_l") != F.col("root_r")) & (F.least("kmers_l", "kmers_r") >= SIMILARITY * F.greatest("kmers_l", "kmers_r"))
-    met = l.join(r, "bucket").where(fits).groupBy("key_l", "key_r").agg(F.count(F.lit(1)).alias("agree")).where(F.col("agree") >= AGREE)
-    rest = stored(met.select(F.col("key_l").alias("a"), F.col("key_r").alias("b")).join(tried, ["a", "b"], "left_anti"))
-    more = verified(rest, nodes)
+    more = open_links(shared, roots, nodes)
     return connected(links.unionByName(more)).withColumnRenamed("node", "key")
 
 
+def open_links(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that the leaders left out: in each bucket that still spans components, the nodes outside
+    its largest component are compared with all of its nodes, in blocks.
+
+    Tasks return links only, so no pair of texts is ever a row.
+    """
+    placed = shared.select("bucket", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy("bucket").agg(F.sum("n").alias("members"), F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    whole = whole.select("bucket", F.col("top.root").alias("largest"), blocks(F.col("members")).alias("member_blocks"), blocks(F.col("members") - F.col("top.n")).alias("probe_blocks"))
+    rows = stored(placed.join(whole, "bucket"))
+    texts = nodes.select("key", "words").join(rows.select("key").distinct(), "key", "left_semi")
+    rows = rows.join(texts, "key")
+    own = lambda n: F.pmod(F.xxhash64(F.lit(2), "key"), n.cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    members = rows.select("bucket", every(F.col("probe_blocks")).alias("p"), own(F.col("member_blocks")).alias("m"), F.lit(False).alias("probe"), "key", "root", "words")
+    probes = rows.where(F.col("root") != F.col("largest")).select("bucket", own(F.col("probe_blocks")).alias("p"), every(F.col("member_blocks")).alias("m"), F.lit(True).alias("probe"), "key", "root", "words")
+    return stored(members.unionByName(probes).groupBy("bucket", "p", "m").applyInArrow(_block_links, "a long, b long"))
+
+
+def _folded(kmers: list[np.ndarray], width: int) -> np.ndarray:
+    """Counts of k-mers by hash bin. The product of two rows is never less than the k-mers they share."""
+    row = np.repeat(np.arange(len(kmers)), [len(k) for k in kmers])
+    bins = (np.concatenate(kmers) & U64(width - 1)).astype(np.int64)
+    return np.bincount(row * width + bins, minlength=len(kmers) * width).reshape(len(kmers), width).astype(np.float32)
+
+
+def _block_links(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links between the probes and the members of a block that join different components."""
+    table = rows.combine_chunks().sort_by("key")
+    keys, roots, probe = (table.column(k).to_numpy(zero_copy_only=False) for k in ("key", "root", "probe"))
+    kmers = [_kmers(w) for w in table.column("words").to_pylist()]
+    sizes = np.array([len(k) for k in kmers])
+    width = 1 << int(16 * sizes.max()).bit_length()
+    tile = max(1, TILE // width)
+    parent = {int(r): int(r) for r in roots}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    left, right, links = np.flatnonzero(probe), np.flatnonzero(~probe), []
+    for at in range(0, len(left), tile):
+        mine = left[at : at + tile]
+        folded = _folded([kmers[i] for i in mine], width)
+        for to in range(0, len(right), tile):
+            theirs = right[to : to + tile]
+            need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (sizes[mine][:, None] + sizes[theirs][None, :]) - 1e-9)
+            fits = (folded @ _folded([kmers[i] for i in theirs], width).T >= need) & (np.minimum(sizes[mine][:, None], sizes[theirs][None, :]) >= need)
+            for i, j in zip(*np.nonzero(fits & (roots[mine][:, None] != roots[theirs][None, :])), strict=True):
+                i, j = mine[i], theirs[j]
+                a, b = find(int(roots[i])), find(int(roots[j]))
+                # Once two components are joined, their other pairs change no class.
+                if a != b and similar(kmers[i], kmers[j]):
+                    parent[a] = b
+                    links.append((int(keys[i]), int(keys[j])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
 def classed(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs with origin (the row's number), key and root (equal for near duplicates).
 
