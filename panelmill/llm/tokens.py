@@ -16,7 +16,8 @@ from array import array
 import numpy as np
 
 #: White space other than space and newline, in Python's or the pre-tokenizers' sense.
-ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+_ODD = [*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+ODD_SPACE = re.compile("[" + "".join(map(chr, _ODD)) + "]")
 #: Pieces beyond this length are encoded but not remembered.
 LONGEST_REMEMBERED = 64
 #: Marks that may close a word, and characters outside of which lower case is the same for every library.
