@@ -23,6 +23,8 @@ LONGEST_REMEMBERED = 64
 #: Marks that may close a word, and characters outside of which lower case is the same for every library.
 CLOSING = ".,;:!?%&$*#|)]}\"'-"
 BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: Either of the two.
+ODD_OR_BEYOND = re.compile("[" + "".join(map(chr, _ODD)) + "\u0130\u0250-\U0010ffff]")
 #: How byte-level vocabularies write the bytes that are not printable: as characters from 256 on, in order.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_FORM = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -57,13 +59,13 @@ class PieceEncoder:
 
     def _library(self, pieces: list[str], lead: str) -> dict[str, bytes]:
         """Ids of pieces from the library. A special token between them, which plain pieces never yield, marks the cuts."""
-        out, other = {}, []
+        out, other, tokenize = {}, [], self.tokenizer.model.tokenize
+        mark = "\u0120" if lead else ""
         for p in pieces:
+            # Latin letters are one pre-token and need no normalizing, so the model can be asked directly.
             if p.isalpha() and (p.isascii() or not BEYOND_LATIN.search(p)):
-                # Latin letters are one pre-token and need no normalizing, so the model can be asked directly.
-                form = lead + p
-                ids = [t.id for t in self.tokenizer.model.tokenize(form.replace(" ", "\u0120") if p.isascii() else form.encode().decode("latin-1").translate(BYTE_FORM))]
-                out[p] = array(self.typecode, ids).tobytes()
+                form = mark + (p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_FORM))
+                out[p] = array(self.typecode, [t.id for t in tokenize(form)]).tobytes()
             else:
                 other.append(p)
         plain = [p for p in other if "<|" not in p] if self.mark else []
@@ -96,10 +98,13 @@ class PieceEncoder:
             return (begins, base), (False, line[len(base) :])
         return ((begins, line),)
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember the ids of new pieces. A newline between two other characters is a part of its own."""
-        known, inner, plans, first, later = self.known, self.inner, {}, set(), set()
+    def _learn(self, pieces: set[str], openings: set[str]) -> None:
+        """Remember the ids of new pieces, and of new pieces that open a text. A newline between two other characters is a part of its own."""
+        known, inner, plans, first, later = self.known, self.inner, {}, set(), openings
         for p in pieces:
+            if p.isalpha() and (self.keeps_space or p.islower()):
+                first.add(p)
+                continue
             if "\n" in p and p.count("\n") == 1 and p[0] != "\n" and p[-1] != "\n":
                 head, tail = p.split("\n")
                 plan = (*self._atoms(head, True), (False, "\n"), *self._atoms(tail, False))
@@ -122,6 +127,8 @@ class PieceEncoder:
 
     def _cut(self, text: str) -> list[str] | None:
         """Pieces of a text (behind its first piece, if spaces are kept), or None if only the whole is safe."""
+        if not self.keeps_space and not ODD_OR_BEYOND.search(text):
+            return text.lower().split()
         if ODD_SPACE.search(text):
             return None
         if not self.keeps_space:
@@ -136,23 +143,25 @@ class PieceEncoder:
         if len(self.inner) > self.remembered:
             self.inner.clear()
         cuts = [self._cut(t) for t in texts]
-        bodies = [c[1:] if c and self.keeps_space else c for c in cuts]
-        found = [list(map(self.known.get, b)) if b else [] for b in bodies]
-        open_ = [i for i, ids in enumerate(found) if None in ids]
-        new = {p for i in open_ for p, ids in zip(bodies[i], found[i], strict=True) if ids is None}
-        if new:
-            self._learn(new)
-            for i in open_:
-                found[i] = [self.known[p] if ids is None else ids for p, ids in zip(bodies[i], found[i], strict=True)]
-        out = []
-        for text, cut, ids in zip(texts, cuts, found, strict=True):
+        bodies, openings = cuts, []
+        if self.keeps_space:
+            bodies, openings = [c[1:] if c else c for c in cuts], [c[0] for c in cuts if c]
+        new = set().union(*filter(None, bodies)).difference(self.known)
+        opening = set(openings).difference(self.inner)
+        if new or opening:
+            self._learn(new, opening)
+        known, out = self.known.__getitem__, []
+        for text, cut, body in zip(texts, cuts, bodies, strict=True):
             if cut is None:
                 out.append(self.whole(text) if text else b"")
+            elif self.keeps_space and cut:
+                out.append(self.inner[cut[0]] + b"".join(map(known, body)))
             else:
-                out.append(b"".join(ids) if not (cut and self.keeps_space) else self.whole(cut[0]) + b"".join(ids))
-        for p in new:
-            if len(p) > LONGEST_REMEMBERED:
-                self.known.pop(p, None)
+                out.append(b"".join(map(known, body)))
+        for memory, pieces in ((self.known, new), (self.inner, opening)):
+            for p in pieces:
+                if len(p) > LONGEST_REMEMBERED:
+                    memory.pop(p, None)
         return out
 
 
