@@ -16,15 +16,20 @@ def over(n, until=0):
     return f"OVER (PARTITION BY code ORDER BY date ROWS BETWEEN {n - 1 + until} PRECEDING AND {until or 'CURRENT'} {'PRECEDING' if until else 'ROW'})"
 
 
+def _at4(value):
+    """Four digits; what lies on the edge goes up, whichever way the sum was rounded."""
+    return F.round(value + 1e-7, 4)
+
+
 def sma_stack(spark, sf_dir):
     rows = B.numbered_bars(spark, sf_dir).withColumns({f"ma{n}": W.sma("close", n) for n in (5, 10, 20, 60)}).withColumn("vma20", W.sma("volume", 20))
     before = W.lag("ma20", 3)
     slope = F.try_divide(F.col("ma20") - before, before) * 100
-    return rows.select("code", "date", *[F.round(f"ma{n}", 6).alias(f"ma{n}") for n in (5, 10, 20, 60)], F.round("vma20", 6).alias("vma20"), F.round(slope, 6).alias("ma20_slope"))
+    return rows.select("code", "date", *[_at4(F.col(f"ma{n}")).alias(f"ma{n}") for n in (5, 10, 20, 60)], _at4(F.col("vma20")).alias("vma20"), _at4(slope).alias("ma20_slope"))
 
 
-SMA_SQL = with_(BARS) + f"""SELECT code, date, {', '.join(f'round(ma{n}, 6) AS ma{n}' for n in (5, 10, 20, 60))}, round(vma20, 6) AS vma20,
-  round((ma20 - lag(ma20, 3) {OVER}) / nullif(lag(ma20, 3) {OVER}, 0) * 100, 6) AS ma20_slope FROM (
+SMA_SQL = with_(BARS) + f"""SELECT code, date, {', '.join(f'round(ma{n} + 1e-7, 4) AS ma{n}' for n in (5, 10, 20, 60))}, round(vma20 + 1e-7, 4) AS vma20,
+  round((ma20 - lag(ma20, 3) {OVER}) / nullif(lag(ma20, 3) {OVER}, 0) * 100 + 1e-7, 4) AS ma20_slope FROM (
   SELECT code, date, {', '.join(f'CASE WHEN n >= {n} THEN avg(close) {over(n)} END AS ma{n}' for n in (5, 10, 20, 60))},
     CASE WHEN n >= 20 THEN avg(volume) {over(20)} END AS vma20 FROM b)"""
 
