@@ -84,7 +84,7 @@ def priority_score(spark, sf_dir):
 RS = X.ORACLES["relative_strength"]
 RS_CTES = RS[RS.index("j AS ("): RS.rindex("SELECT code, round(beta, 4)")]
 RS_LAST = RS[RS.rindex("SELECT code, round(beta, 4)"):]
-PRIORITY_SQL = with_(BARS, BENCH, WEEKLY, MONTHLY, SETUP, RS_CTES.rstrip().rstrip(",") + f", rps AS ({RS_LAST})") + """SELECT code, round(greatest(0, least(100, setup_score * 0.30::DOUBLE + coalesce(score, 0) * 0.30::DOUBLE + (ws - 0.5 + 1) * 50 * 0.25::DOUBLE + risk_quality * 0.10::DOUBLE + (coalesce(monthly_score, 0) + 1) * 50 * 0.05::DOUBLE)), 4) AS priority
+PRIORITY_SQL = with_(BARS, BENCH, WEEKLY, MONTHLY, SETUP, RS_CTES.rstrip().rstrip(",") + f", rps AS ({RS_LAST})") + """SELECT code, round(greatest(0, least(100, setup_score * 0.30::DOUBLE + coalesce(score, 0) * 0.30::DOUBLE + (ws - 0.5 + 1) * 50 * 0.25::DOUBLE + risk_quality * 0.10::DOUBLE + (coalesce(monthly_score, 0) + 1) * 50 * 0.05::DOUBLE + 1e-7)), 4) AS priority
 FROM sq LEFT JOIN rps USING (code) LEFT JOIN mt USING (code)"""
 
 
