@@ -1,23 +1,26 @@
 """Scoring by a hierarchical Pitman-Yor language model.
 
 Tokens are runs without ASCII white space, A-Z lower-cased, and one end token per text. The context
-of a token is the class (hash modulo FINE) of the token before it; at the start of a text that is the
-end token. Restaurants form three levels: one for each fine class, one for each coarse class (fine
-class modulo COARSE), which its fine classes share as parent, and the root over a base distribution.
+of a token is the token before it; at the start of a text that is the end token. Restaurants form four
+levels: one for each context word, one for each fine class (hash of the context modulo FINE), one for
+each coarse class (fine class modulo COARSE), and the root over a base distribution.
 
-Seating: the customers of a fine restaurant are the training tokens behind that class; the tables of
+Seating: the customers of a word's restaurant are the training tokens behind that word; the tables of
 a restaurant send one customer each to its parent. A sweep of Gibbs sampling reseats all customers of
 every dish, one after another, by the Chinese-restaurant probabilities, given the other restaurants
 as the last sweep left them. (Beyond 64 customers of one dish in one restaurant they are seated in
-groups of a 64th of those present.) Given the totals of the restaurants, 73 pairs of numbers, words
-are independent of one another, so the table of words is dealt over the cluster and each sweep sums
-those totals. The probabilities after the last KEPT sweeps are averaged.
-
-Work on the cluster: a chunk of documents becomes a list of its distinct (word, class) pairs and the
+groups of a 64th of those present.) Given the totals of the restaurants, words are independent of one
+another, so the table of words is dealt over the cluster. The totals of the classes and the root, 73
+pairs of numbers, are summed at the driver. Those of the context words are a table: the buckets of
+words send their parts to buckets of contexts, where they are summed and sent back; only the
+contexts of pairs seen twice or more are asked for between sweeps, as a single customer has a single
+table. The probabilities after the last KEPT sweeps are averaged.
+
+Work on the cluster: a chunk of documents becomes a list of its distinct (word, context) pairs and the
 documents as numbers of pairs; the pairs meet in buckets by word, where counts are summed, seated and
 turned into probabilities; these return to their chunk, where each document is summed up. A chunk is
 bounded by CHUNK_TOKENS tokens (or one document), a bucket by the number of buckets, which follows
-the input; a frequent word comes once from each chunk, however often it occurs there.
+the counted bytes of the input; a frequent word comes once for each context of a chunk, however often it occurs there.
 
 Base distribution: UNKNOWN of its mass is for one type that stands for all words never seen in
 training, the rest is uniform over the words seen.
@@ -38,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import fold, partitions, stored, text_or_empty
+from panelmill.llm.common import drop_stored, fold, partitions, stored, text_or_empty
 from panelmill.llm.words import U64, hashed_words, string_parts
 
 FINE, COARSE = 64, 8
@@ -46,10 +49,16 @@ SWEEPS, KEPT = 4, 2
 STRENGTH = 5.0
 UNKNOWN = 0.9
 CHUNK_TOKENS = 1 << 21
+#: Bytes of text for which there is one bucket of words, and buckets of words for one of contexts.
+BUCKET_BYTES, BUCKETS_A_PART = 1 << 22, 4
 END = U64(0x5EED_0E4D_0F7E_1701)
 ROOT = FINE + COARSE
-PARTS = "chunk long, bucket int, words binary, spread binary, classes binary, counts binary, doc_ids binary, missing binary, held binary, sizes binary, pairs binary"
-BUCKETS = "bucket int, words binary, spread binary, classes binary, counts binary, chunks binary, lengths binary, places binary, tokens long, types long, pair_once long, pair_twice long, word_once long, word_twice long"
+PARTS = "chunk long, bucket int, words binary, spread binary, contexts binary, counts binary, doc_ids binary, missing binary, held binary, sizes binary, pairs binary"
+NUMBERS = ["tokens", "types", "pair_once", "pair_twice", "kind_once", "kind_twice", "word_once", "word_twice"]
+BUCKETS = "bucket int, words binary, spread binary, contexts binary, counts binary, chunks binary, lengths binary, places binary, totals binary, " + ", ".join(f"{k} long" for k in NUMBERS)
+#: The seating of a bucket (part -1), and the sums that the buckets of contexts send back to it.
+STATE = "bucket int, part int, words binary, spread binary, contexts binary, counts binary, tables binary, fine binary, coarse binary, root binary, customers binary, types binary, mean binary, totals binary"
+ASKED = "part int, bucket int, contexts binary, customers binary, types binary"
 ANSWERS = "chunk long, bucket int, logs binary, counts binary, doc_ids binary, missing binary, held binary, sizes binary, pairs binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -71,33 +80,35 @@ def _schema(ddl: str) -> list[tuple[str, pa.DataType]]:
 
 
 def _with_ends(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes with an end token behind each text, and the class of the token before each."""
+    """Token hashes with an end token behind each text, and the token before each."""
     sizes = counts + 1
     out = np.full(int(sizes.sum()), END, dtype=U64)
     out[np.arange(len(words)) + np.repeat(np.arange(len(counts)), counts)] = words
     before = np.empty_like(out)
     before[0], before[1:] = END, out[:-1]
-    return out, (before % U64(FINE)).astype(np.uint8)
+    return out, before
 
 
 class _Chunk:
     def __init__(self, number: int):
         self.number, self.tokens = number, 0
-        self.words, self.classes, self.learn = [], [], []
+        self.words, self.contexts, self.learn = [], [], []
         self.doc_ids, self.missing, self.held, self.sizes = [], [], [], []
 
     def parts(self, buckets: int) -> Iterator[dict]:
-        words, classes, learn = (np.concatenate(x) for x in (self.words, self.classes, self.learn))
-        key = words * U64(FINE) + classes  # modulo 2**64; ordered below by what it stands for
-        _, first, place = np.unique(key, return_index=True, return_inverse=True)
-        counts = np.bincount(place, weights=learn, minlength=len(first)).astype("<u4")
-        word, kind = words[first], classes[first]
-        bucket = (word % U64(buckets)).astype(np.int64)
-        order = np.lexsort((kind, word, bucket))
-        rank = np.empty(len(order), dtype="<i4")
+        words, contexts, learn = (np.concatenate(x) for x in (self.words, self.contexts, self.learn))
+        # Every context is a token of the chunk, too; numbers of tokens follow (bucket, word), so pairs sort by one exact key.
+        known, number = np.unique(words, return_inverse=True)
+        order = np.lexsort((known, known % U64(buckets)))
+        rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        word, kind, counts, bucket = word[order], kind[order], counts[order], bucket[order]
-        begins = np.concatenate(([True], (word[1:] != word[:-1]) | (bucket[1:] != bucket[:-1])))
+        number, before = rank[number], rank[np.searchsorted(known, contexts)]
+        known = known[order]
+        key, place = np.unique(number * len(known) + before, return_inverse=True)
+        counts = np.bincount(place, weights=learn, minlength=len(key)).astype("<u4")
+        word, context = known[key // len(known)], known[key % len(known)]
+        bucket = (word % U64(buckets)).astype(np.int64)
+        begins = np.concatenate(([True], word[1:] != word[:-1]))
         edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             starts = np.flatnonzero(begins[a:b])
@@ -105,12 +116,12 @@ class _Chunk:
                 "chunk": self.number,
                 "bucket": int(bucket[a]),
                 "words": word[a:b][starts].astype("<u8").tobytes(),
-                "spread": np.diff(np.append(starts, b - a)).astype("<u1").tobytes(),
-                "classes": kind[a:b].tobytes(),
+                "spread": np.diff(np.append(starts, b - a)).astype("<u4").tobytes(),
+                "contexts": context[a:b].astype("<u8").tobytes(),
                 "counts": counts[a:b].tobytes(),
             }
         facts = {k: np.concatenate(getattr(self, k)).tobytes() for k in ("doc_ids", "missing", "held", "sizes")}
-        yield {"chunk": self.number, "bucket": -1, **facts, "pairs": rank[place].tobytes()}
+        yield {"chunk": self.number, "bucket": -1, **facts, "pairs": place.astype("<i4").tobytes()}
 
 
 def _split(buckets: int):
@@ -121,9 +132,9 @@ def _split(buckets: int):
             ids, missing = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             held, learn = (batch.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in ("held", "learn"))
             for a, b, counts, words in hashed_words(*string_parts(batch.column("text")), white_space_only=True):
-                tokens, classes = _with_ends(words, counts)
+                tokens, contexts = _with_ends(words, counts)
                 chunk.words.append(tokens)
-                chunk.classes.append(classes)
+                chunk.contexts.append(contexts)
                 chunk.learn.append(np.repeat(learn[a:b], counts + 1).astype(np.float32))
                 chunk.doc_ids.append(ids[a:b].astype("<i8"))
                 chunk.missing.append(missing[a:b].astype("<u1"))
@@ -148,11 +159,11 @@ def _split(buckets: int):
 def _merge(key: tuple, rows: pa.Table) -> pa.Table:
     """All chunks' pairs of one bucket: summed counts, and where each chunk's pairs lie in the sum."""
     parts = sorted(rows.to_pylist(), key=lambda r: r["chunk"])
-    words = np.concatenate([np.repeat(_array(r["words"], "<u8"), _array(r["spread"], "<u1")) for r in parts])
-    kinds = np.concatenate([_array(r["classes"], "<u1") for r in parts])
+    words = np.concatenate([np.repeat(_array(r["words"], "<u8"), _array(r["spread"], "<u4")) for r in parts])
+    contexts = np.concatenate([_array(r["contexts"], "<u8") for r in parts])
     counts = np.concatenate([_array(r["counts"], "<u4") for r in parts])
-    order = np.lexsort((kinds, words))
-    w, k = words[order], kinds[order]
+    order = np.lexsort((contexts, words))
+    w, k = words[order], contexts[order]
     fresh = np.concatenate(([True], (w[1:] != w[:-1]) | (k[1:] != k[:-1])))
     place = np.empty(len(order), dtype="<i4")
     place[order] = np.cumsum(fresh) - 1
@@ -164,11 +175,11 @@ def _merge(key: tuple, rows: pa.Table) -> pa.Table:
     out = {
         "bucket": key[0].as_py(),
         "words": w[word_starts].astype("<u8").tobytes(),
-        "spread": np.diff(np.append(word_starts, len(w))).astype("<u1").tobytes(),
-        "classes": k.tobytes(),
+        "spread": np.diff(np.append(word_starts, len(w))).astype("<u4").tobytes(),
+        "contexts": k.astype("<u8").tobytes(),
         "counts": total.tobytes(),
         "chunks": np.array([r["chunk"] for r in parts], dtype="<i8").tobytes(),
-        "lengths": np.array([len(r["classes"]) for r in parts], dtype="<i8").tobytes(),
+        "lengths": np.array([len(r["contexts"]) // 8 for r in parts], dtype="<i8").tobytes(),
         "places": place.tobytes(),
         "tokens": int(total.sum()),
         "types": int((by_word > 0).sum()),
@@ -177,6 +188,8 @@ def _merge(key: tuple, rows: pa.Table) -> pa.Table:
         "word_once": int((by_word == 1).sum()),
         "word_twice": int((by_word == 2).sum()),
     }
+    classes = Contexts(out, Settings(0, 0, 0.5, 0.5)).classes
+    out |= {"kind_once": int((classes.count == 1).sum()), "kind_twice": int((classes.count == 2).sum()), "totals": classes.totals().tobytes()}
     return pa.Table.from_batches([_rows(_schema(BUCKETS), [out])])
 
 
@@ -197,8 +210,9 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.rando
 class Settings:
     """What all buckets share: number of tokens and types, discounts by level, and the base distribution."""
 
-    def __init__(self, tokens: int, types: int, pair_discount: float, word_discount: float):
+    def __init__(self, tokens: int, types: int, pair_discount: float, word_discount: float, context_discount: float = 0.5):
         self.tokens, self.types = tokens, types
+        self.context = context_discount
         self.fine = self.coarse = pair_discount
         self.root = word_discount
         self.unknown = UNKNOWN if types else 1.0
@@ -245,9 +259,12 @@ class Seating:
         own = self._coarse_customers().reshape(-1, COARSE) - s.coarse * self.coarse_tables.reshape(-1, COARSE)
         return root, (own + (STRENGTH + s.coarse * tables) * root[:, None]) / (STRENGTH + customers)
 
-    def sweep(self, totals: np.ndarray, seed: int) -> None:
+    def sweep(self, totals: np.ndarray, seed: int, customers: np.ndarray | None = None) -> None:
+        """customers: those of the pairs from now on, where the level below has changed them."""
         s, rng = self.settings, np.random.default_rng([seed, self.bucket])
         root, coarse = self.parents(totals)
+        if customers is not None:
+            self.count = customers
         self.tables = seat(self.count, (STRENGTH + s.fine * totals[self.kind, 1]) * coarse.reshape(-1)[self.family], s.fine, rng)
         pull = ((STRENGTH + s.coarse * totals[FINE:ROOT, 1]) * root[:, None]).reshape(-1)
         self.coarse_tables = seat(self._coarse_customers(), pull, s.coarse, rng)
@@ -273,50 +290,152 @@ def unknown_probabilities(totals: np.ndarray, s: Settings) -> np.ndarray:
     return escape(fine, s.fine) * escape(coarse, s.coarse) * escape(ROOT, s.root) * s.unknown
 
 
-def _chain(row: dict, settings: Settings, history: list[np.ndarray]) -> Seating:
-    """The seating after as many sweeps as there are totals; the seed is the sweep's number, so every pass repeats the same chain."""
-    seating = Seating(row, settings)
-    for number, totals in enumerate(history):
-        seating.sweep(totals, number)
-    return seating
-
-
-def _sum_totals(settings: Settings, history: list[np.ndarray]):
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((ROOT + 1, 2), dtype=np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                total += _chain(row, settings, history).totals()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ROOT + 1, dtype=np.int32)), pa.array(total[:, 0]), pa.array(total[:, 1])], ["restaurant", "customers", "tables"])
-
-    return sums
+class Contexts:
+    """The seating of one bucket's words in the restaurants of context words, above the classes."""
 
+    def __init__(self, row: dict, settings: Settings):
+        words, spread = _array(row["words"], "<u8"), _array(row["spread"], "<u4")
+        self.row, self.settings, self.bucket = row, settings, row["bucket"]
+        self.word, context, self.count = np.repeat(np.arange(len(words)), spread), _array(row["contexts"], "<u8"), _array(row["counts"], "<i8")
+        self.kind = (context % U64(FINE)).astype(np.int64)
+        self.by_word = np.bincount(self.word, weights=self.count, minlength=len(words)).astype(np.int64)
+        self.own, self.at = np.unique(context, return_inverse=True)
+        self.seen = np.flatnonzero(self.count > 0)
+        slots, self.slot = np.unique((self.word * FINE + self.kind)[self.seen], return_inverse=True)
+        self.slots = len(slots)
+        self.tables = self._kept("tables", np.ones(len(self.seen), dtype=np.int64))
+        spread = np.bincount(slots // FINE, minlength=len(words)).astype("<u1")
+        below = {"words": row["words"], "spread": spread.tobytes(), "classes": (slots % FINE).astype("<u1").tobytes(), "counts": self._below().astype("<i8").tobytes(), "bucket": self.bucket}
+        self.classes = Seating(below, settings)
+        for name, column in (("tables", "fine"), ("coarse_tables", "coarse"), ("root_tables", "root")):
+            setattr(self.classes, name, self._kept(column, getattr(self.classes, name)))
+
+    def _kept(self, column: str, default: np.ndarray) -> np.ndarray:
+        return default if self.row.get(column) is None else _array(self.row[column], "<i8")
+
+    def _below(self) -> np.ndarray:
+        """Customers of each (word, class) pair: the tables of the class's context words."""
+        return np.bincount(self.slot, weights=self.tables, minlength=self.slots).astype(np.int64)
+
+    def asked(self, number: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts whose totals the bucket needs for a round, ordered by part, and their parts.
+
+        All of them in the first round and where probabilities are taken, else those of pairs seen twice or more.
+        """
+        wanted = np.arange(len(self.own)) if number == 0 or number > SWEEPS - KEPT else np.unique(self.at[self.seen[self.count[self.seen] > 1]])
+        part = (self.own[wanted] % U64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        return wanted[order], part[order]
+
+    def by_context(self, of_pairs: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at[self.seen], weights=of_pairs, minlength=len(self.own)).astype("<i8")
+
+    def sweep(self, totals: np.ndarray, tables: np.ndarray, seed: int) -> None:
+        """tables: those of each context in all buckets."""
+        s, rng = self.settings, np.random.default_rng([seed, self.bucket, 1])
+        seen = self.seen
+        parent = self.classes.probabilities(totals, self.word[seen], self.kind[seen])
+        self.tables = seat(self.count[seen], (STRENGTH + s.context * tables[self.at[seen]]) * parent, s.context, rng)
+        self.classes.sweep(totals, seed, self._below())
+
+    def probabilities(self, totals: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """P(word | context) of every pair; customers, tables: those of each context in all buckets."""
+        s, known = self.settings, self.by_word[self.word] > 0
+        parent = unknown_probabilities(totals, s)[self.kind]
+        parent[known] = self.classes.probabilities(totals, self.word[known], self.kind[known])
+        own = np.zeros(len(self.word))
+        own[self.seen] = self.count[self.seen] - s.context * self.tables
+        return (own + (STRENGTH + s.context * tables[self.at]) * parent) / (STRENGTH + customers[self.at])
+
+
+def _ask(settings: Settings, number: int, parts: int):
+    """What each bucket of words adds to the totals of contexts, in the order in which it gets the sums.
+
+    The first round counts customers and distinct pairs, later ones the tables beyond one for each pair.
+    """
 
-def _answer(settings: Settings, history: list[np.ndarray]):
-    """Probabilities, averaged over the kept sweeps, for each chunk's pairs."""
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _schema(ANSWERS)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _schema(ASKED)
         for batch in batches:
             for row in batch.to_pylist():
-                spread = _array(row["spread"], "<u1")
-                word, kind = np.repeat(np.arange(len(spread)), spread), _array(row["classes"], "<u1").astype(np.int64)
-                mean, seating = np.zeros(len(word)), Seating(row, settings)
-                known = seating.by_word[word] > 0
-                for number in range(SWEEPS):
-                    seating.sweep(history[number], number)
-                    if number >= SWEEPS - KEPT:
-                        now = history[number + 1]
-                        mean[known] += seating.probabilities(now, word[known], kind[known]) / KEPT
-                        mean[~known] += unknown_probabilities(now, settings)[kind[~known]] / KEPT
-                logs, counts = np.log10(mean).astype("<f4"), np.minimum(seating.by_word, 2**32 - 1).astype("<u4")[word]
-                places, at = _array(row["places"], "<i4"), 0
-                for chunk, n in zip(_array(row["chunks"], "<i8").tolist(), _array(row["lengths"], "<i8").tolist(), strict=True):
-                    own = places[at : at + n]
-                    at += n
-                    yield _rows(schema, [{"chunk": chunk, "bucket": row["bucket"], "logs": logs[own].tobytes(), "counts": counts[own].tobytes()}])
-
-    return answer
+                c = Contexts(row, settings)
+                wanted, part = c.asked(number, parts)
+                pairs = c.by_context(np.ones(len(c.seen)) if number == 0 else c.tables - 1)[wanted]
+                customers = c.by_context(c.count[c.seen])[wanted] if number == 0 else None
+                edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, dtype=np.int64)
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    out = {"part": int(part[a]), "bucket": row["bucket"], "contexts": c.own[wanted[a:b]].tobytes(), "types": pairs[a:b].tobytes()}
+                    yield _rows(schema, [out | ({"customers": customers[a:b].tobytes()} if number == 0 else {})])
+
+    return ask
+
+
+def _reply(key: tuple, rows: pa.Table) -> pa.Table:
+    """The sums over all buckets of words, for each bucket the contexts that it asked for."""
+    parts = sorted(rows.to_pylist(), key=lambda r: r["bucket"])
+    known, at = np.unique(np.concatenate([_array(r["contexts"], "<u8") for r in parts]), return_inverse=True)
+    sums = {k: np.bincount(at, weights=np.concatenate([_array(r[k], "<i8") for r in parts]), minlength=len(known)).astype("<i8") for k in ("customers", "types") if parts[0][k] is not None}
+    edges = np.cumsum([0, *(len(r["contexts"]) // 8 for r in parts)]).tolist()
+    out = [{"bucket": r["bucket"], "part": key[0].as_py(), **{k: v[at[a:b]].tobytes() for k, v in sums.items()}} for r, a, b in zip(parts, edges[:-1], edges[1:], strict=True)]
+    return pa.Table.from_batches([_rows(_schema(STATE), out)])
+
+
+def _round(settings: Settings, number: int, parts: int, totals: np.ndarray):
+    """One bucket with the totals of its contexts: adds to the averaged probabilities, and sweeps."""
+
+    def step(key: tuple, rows: pa.Table) -> pa.Table:
+        state, *replies = sorted(rows.to_pylist(), key=lambda r: r["part"])
+        c = Contexts(state, settings)
+        wanted, _ = c.asked(number, parts)
+        got = np.zeros(len(c.own), dtype=np.int64)
+        if replies:
+            got[wanted] = np.concatenate([_array(r["types"], "<i8") for r in replies])
+        if number == 0:
+            customers, types = np.zeros(len(c.own), dtype=np.int64), got
+            if replies:
+                customers[wanted] = np.concatenate([_array(r["customers"], "<i8") for r in replies])
+            tables = types
+        else:
+            customers, types = _array(state["customers"], "<i8"), _array(state["types"], "<i8")
+            tables = types + got
+        mean = np.zeros(len(c.word)) if state["mean"] is None else _array(state["mean"], "<f8")
+        if number > SWEEPS - KEPT:
+            mean = mean + c.probabilities(totals, customers, tables) / KEPT
+        out = {"bucket": c.bucket, "part": -1}
+        if number > SWEEPS - KEPT:
+            out["mean"] = mean.astype("<f8").tobytes()
+        if number < SWEEPS:
+            c.sweep(totals, tables, number)
+            out |= {k: state[k] for k in ("words", "spread", "contexts", "counts")}
+            kept = {"tables": c.tables, "fine": c.classes.tables, "coarse": c.classes.coarse_tables, "root": c.classes.root_tables, "customers": customers, "types": types, "totals": c.classes.totals()}
+            out |= {k: v.astype("<i8").tobytes() for k, v in kept.items()}
+        return pa.Table.from_batches([_rows(_schema(STATE), [out])])
+
+    return step
+
+
+def _sum_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((ROOT + 1, 2), dtype=np.int64)
+    for batch in batches:
+        for raw in batch.column("totals").to_pylist():
+            total += _array(raw, "<i8").reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(ROOT + 1, dtype=np.int32)), pa.array(total[:, 0]), pa.array(total[:, 1])], ["restaurant", "customers", "tables"])
+
+
+def _answer(key: tuple, rows: pa.Table) -> pa.Table:
+    """Averaged probabilities for each chunk's pairs."""
+    row, mean = rows.to_pylist()
+    if row["words"] is None:
+        row, mean = mean, row
+    word = np.repeat(np.arange(len(row["words"]) // 8), _array(row["spread"], "<u4"))
+    by_word = np.bincount(word, weights=_array(row["counts"], "<i8")).astype(np.int64)
+    logs, counts = np.log10(_array(mean["mean"], "<f8")).astype("<f4"), np.minimum(by_word, 2**32 - 1).astype("<u4")[word]
+    places, at, out = _array(row["places"], "<i4"), 0, []
+    for chunk, n in zip(_array(row["chunks"], "<i8").tolist(), _array(row["lengths"], "<i8").tolist(), strict=True):
+        own = places[at : at + n]
+        at += n
+        out.append({"chunk": chunk, "bucket": row["bucket"], "logs": logs[own].tobytes(), "counts": counts[own].tobytes()})
+    return pa.Table.from_batches([_rows(_schema(ANSWERS), out)])
 
 
 def _score(settings: Settings):
@@ -352,21 +471,28 @@ def score_documents(docs: DataFrame, held_out_part: int = 1, parts: int = 5) ->
     spark = docs.sparkSession
     part = fold(parts=parts)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(part == held_out_part, F.lit(False)).alias("held"), F.coalesce(part != held_out_part, F.lit(False)).alias("learn"), text_or_empty().alias("text"))
-    buckets = max(partitions(spark), 2 * docs.rdd.getNumPartitions())
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()["size"]
+    buckets = max(partitions(spark), 2 * docs.rdd.getNumPartitions(), size // BUCKET_BYTES)
+    parts_of_contexts = -(-buckets // BUCKETS_A_PART)
     chunks = stored(rows.mapInArrow(_split(buckets), PARTS))
-    pairs = chunks.where("bucket >= 0").select("chunk", "bucket", "words", "spread", "classes", "counts")
+    pairs = chunks.where("bucket >= 0").select("chunk", "bucket", "words", "spread", "contexts", "counts")
     table = stored(pairs.groupBy("bucket").applyInArrow(_merge, BUCKETS))
-    n = table.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("tokens", "types", "pair_once", "pair_twice", "word_once", "word_twice")]).first()
+    n = table.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in NUMBERS]).first()
     discount = lambda once, twice: min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
-    settings = Settings(n["tokens"], n["types"], discount(n["pair_once"], n["pair_twice"]), discount(n["word_once"], n["word_twice"]))
-    seatings = table.select("bucket", "words", "spread", "classes", "counts").repartition(buckets, "bucket")
-    history: list[np.ndarray] = []
-    for _ in range(SWEEPS + 1):
-        sums = seatings.mapInArrow(_sum_totals(settings, history), "restaurant int, customers long, tables long")
+    settings = Settings(n["tokens"], n["types"], *(discount(n[f"{k}_once"], n[f"{k}_twice"]) for k in ("kind", "word", "pair")))
+    kept = {"words", "spread", "contexts", "counts", "totals"}
+    state = table.select("bucket", F.lit(-1).alias("part"), *[F.col(k) if k in kept else F.lit(None).cast("binary").alias(k) for k, _ in _schema(STATE)[2:]])
+    for number in range(SWEEPS + 1):
         total = np.zeros((ROOT + 1, 2), dtype=np.int64)
+        sums = state.select("totals").mapInArrow(_sum_totals, "restaurant int, customers long, tables long")
         for r in sums.groupBy("restaurant").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).collect():
             total[r["restaurant"]] = r["c"], r["t"]
-        history.append(total)
-    answers = table.drop("tokens", "types", "pair_once", "pair_twice", "word_once", "word_twice").mapInArrow(_answer(settings, history), ANSWERS)
+        replies = state.mapInArrow(_ask(settings, number, parts_of_contexts), ASKED).groupBy("part").applyInArrow(_reply, STATE)
+        after = stored(state.unionByName(replies).groupBy("bucket").applyInArrow(_round(settings, number, parts_of_contexts, total), STATE))
+        if number:
+            drop_stored(state)
+        state = after
+    asked = table.select("bucket", "words", "spread", "counts", "chunks", "lengths", "places", F.lit(None).cast("binary").alias("mean"))
+    answers = asked.unionByName(state.select("bucket", "mean"), allowMissingColumns=True).groupBy("bucket").applyInArrow(_answer, ANSWERS)
     whole = chunks.where("bucket = -1").select("chunk", "bucket", F.lit(None).cast("binary").alias("logs"), F.lit(None).cast("binary").alias("counts"), "doc_ids", "missing", "held", "sizes", "pairs")
     return answers.unionByName(whole).groupBy("chunk").applyInArrow(_score(settings), SCORES)

@@ -201,6 +201,50 @@ def test_probabilities_sum_to_one():
         assert (seating.tables >= 1).all() and (seating.tables <= seating.count).all()
 
 
+def test_the_word_before_is_the_context(spark):
+    rng = random.Random(11)
+    follows = list(range(3000))
+    rng.shuffle(follows)
+    texts = [" ".join(f"a{i} b{follows[i]}" for i in rng.choices(range(3000), k=300)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = [r for r in language_model.score_documents(docs).collect() if r["held_out"]]
+    # Half of the words are one of 3000, the others follow from the word before.
+    assert 10 ** (-sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held)) < 1.6 * 3000**0.5
+
+
+def test_probabilities_of_word_contexts_sum_to_one():
+    rng = random.Random(4)
+    words, before = (np.array(sorted(rng.getrandbits(60) for _ in range(n)), dtype="<u8") for n in (30, 40))
+    contexts = [np.sort(np.array(rng.sample(before.tolist(), rng.randint(1, 20)), dtype="<u8")) for _ in words]
+    counts = np.array([rng.choice([1, 1, 2, 5, 400]) for c in contexts for _ in c], dtype="<i8")
+    row = {"bucket": 0, "words": words.tobytes(), "spread": np.array([len(c) for c in contexts], dtype="<u4").tobytes(), "contexts": np.concatenate(contexts).tobytes(), "counts": counts.tobytes()}
+    s = language_model.Settings(int(counts.sum()), len(words), 0.6, 0.5, 0.7)
+    seating = language_model.Contexts(row, s)
+    customers = seating.by_context(seating.count)
+    for sweep in range(3):
+        totals, tables = seating.classes.totals(), seating.by_context(seating.tables)
+        every = language_model.Contexts(row | {"spread": np.full(len(words), len(before), dtype="<u4").tobytes(), "contexts": np.tile(before, len(words)).tobytes(), "counts": _dense(words, before, contexts, counts).tobytes(), "tables": seating.tables.astype("<i8").tobytes()}, s)
+        every.classes = seating.classes
+        at = np.searchsorted(seating.own, every.own)
+        p = every.probabilities(totals, *(np.where(np.isin(every.own, seating.own), x[np.minimum(at, len(x) - 1)], 0) for x in (customers, tables)))
+        unknown = language_model.unknown_probabilities(totals, s)
+        for u, b in enumerate(before):
+            i = np.searchsorted(seating.own, b)
+            c, t = (customers[i], tables[i]) if i < len(seating.own) and seating.own[i] == b else (0, 0)
+            escape = (language_model.STRENGTH + s.context * t) / (language_model.STRENGTH + c)
+            assert p.reshape(len(words), -1)[:, u].sum() + escape * unknown[int(b) % language_model.FINE] == pytest.approx(1.0)
+        seating.sweep(totals, tables, sweep)
+        assert (seating.tables >= 1).all() and (seating.tables <= seating.count).all()
+
+
+def _dense(words, before, contexts, counts):
+    out, at = np.zeros((len(words), len(before)), dtype="<i8"), 0
+    for w, c in enumerate(contexts):
+        out[w, np.searchsorted(before, c)] = counts[at : at + len(c)]
+        at += len(c)
+    return out
+
+
 def test_scores_of_awkward_rows(spark, awkward, no_docs, monkeypatch):
     rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
     n, want = base_of(rows)
