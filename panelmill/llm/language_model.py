@@ -429,7 +429,7 @@ def _answer(key: tuple, rows: pa.Table) -> pa.Table:
         row, mean = mean, row
     word = np.repeat(np.arange(len(row["words"]) // 8), _array(row["spread"], "<u4"))
     by_word = np.bincount(word, weights=_array(row["counts"], "<i8")).astype(np.int64)
-    logs, counts = np.log10(_array(mean["mean"], "<f8")).astype("<f4"), np.minimum(by_word, 2**32 - 1).astype("<u4")[word]
+    logs, counts = np.log10(_array(mean["mean"], "<f8")).astype("<f4"), by_word.astype("<u8")[word]
     places, at, out = _array(row["places"], "<i4"), 0, []
     for chunk, n in zip(_array(row["chunks"], "<i8").tolist(), _array(row["lengths"], "<i8").tolist(), strict=True):
         own = places[at : at + n]
@@ -442,7 +442,7 @@ def _score(settings: Settings):
     def score(key: tuple, rows: pa.Table) -> pa.Table:
         parts = sorted(rows.to_pylist(), key=lambda r: r["bucket"])
         docs, answers = parts[0], parts[1:]
-        logs, counts = (np.concatenate([_array(r[k], t) for r in answers]) for k, t in (("logs", "<f4"), ("counts", "<u4")))
+        logs, counts = (np.concatenate([_array(r[k], t) for r in answers]) for k, t in (("logs", "<f4"), ("counts", "<u8")))
         base = np.log10((counts + 0.5) / (settings.tokens + 0.5 * (settings.types + 1)))
         pairs, sizes = _array(docs["pairs"], "<i4"), _array(docs["sizes"], "<i8")
         first = np.cumsum(sizes) - sizes

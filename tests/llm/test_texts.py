@@ -255,6 +255,19 @@ def test_scores_of_awkward_rows(spark, awkward, no_docs, monkeypatch):
     assert language_model.score_documents(only_held).count() == 1
 
 
+def test_counts_beyond_32_bits_reach_the_documents():
+    import pyarrow as pa
+
+    n = 2**33 + 7
+    row = {"bucket": 0, "words": np.array([5], dtype="<u8").tobytes(), "spread": np.array([1], dtype="<u4").tobytes(), "counts": np.array([n], dtype="<i8").tobytes(), "chunks": np.array([0], dtype="<i8").tobytes(), "lengths": np.array([1], dtype="<i8").tobytes(), "places": np.array([0], dtype="<i4").tobytes()}
+    mean = {"bucket": 0, "mean": np.array([0.5], dtype="<f8").tobytes()}
+    (answer,) = language_model._answer((pa.scalar(0),), pa.Table.from_pylist([row | {"mean": None}, dict.fromkeys(row) | mean])).to_pylist()
+    docs = {"doc_ids": np.array([1], dtype="<i8"), "missing": np.array([0], dtype="<u1"), "held": np.array([0], dtype="<u1"), "sizes": np.array([1], dtype="<i8"), "pairs": np.array([0], dtype="<i4")}
+    whole = {"chunk": 0, "bucket": -1, "logs": None, "counts": None} | {k: v.tobytes() for k, v in docs.items()}
+    (got,) = language_model._score(language_model.Settings(n, 1, 0.5, 0.5))((pa.scalar(0),), pa.Table.from_pylist([whole, dict.fromkeys(whole) | answer])).to_pylist()
+    assert got["base_score"] == pytest.approx(math.log10((n + 0.5) / (n + 1)))
+
+
 def test_word_hashes_are_those_of_words():
     import pyarrow as pa
 
