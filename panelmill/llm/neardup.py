@@ -6,6 +6,10 @@ of one hash function, in text order; two texts agree in a sketch with about the
 where the order differs, so agreement follows edit similarity rather than set overlap. Texts that
 agree in any of the M sketches are candidates.
 
+A short text has too few k-mers to sample from. Texts of up to SHORT k-mers, and those long enough to be
+similar to one, have keys that miss no pair: similarity 0.8 means that at least 0.8 n of a text's n k-mers
+are shared, so of its n - ceil(0.8 n) + 1 k-mers with the least hashes one is among those of the other text.
+
 A candidate pair is verified by aligning its two five-word sequences: with LCS the length of the
 longest common subsequence, similarity = LCS / (n1 + n2 - LCS). For similarity 0.8 at most a ninth of
 both lengths is inserted or deleted, so a band of that width around the diagonal is enough; the
@@ -41,6 +45,8 @@ from panelmill.llm.words import U64, hashed_words, mix, shingles, string_parts
 
 KMER, SIMILARITY = 5, 0.8
 SKETCHES, LEAST = 24, 5
+#: Up to so many k-mers, candidates are found by shared k-mers alone; partners of such texts have at most SHORT / SIMILARITY.
+SHORT = 20
 #: Nodes of a bucket on either side of one comparison, and numbers in one matrix of it.
 BLOCK, TILE = 1024, 1 << 22
 SKETCHED = "key long, kmers int, words binary, sketches array<long>"
@@ -84,8 +90,20 @@ def sketch(kmers: np.ndarray) -> np.ndarray:
     return out
 
 
+def exact_keys(kmers: np.ndarray) -> np.ndarray:
+    """The least k-mers of a text, so many that every similar text with such keys shares one."""
+    n = len(kmers)
+    return mix(np.sort(label_occurrences(kmers))[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1] + U64(SHORT))
+
+
+def bucket_keys(kmers: np.ndarray) -> np.ndarray:
+    """What candidates share at least one of: exact keys of short texts, sketches of others, both in between."""
+    exact = [exact_keys(kmers)] if len(kmers) * SIMILARITY <= SHORT + 1e-9 else []
+    return np.concatenate(exact + ([sketch(kmers)] if len(kmers) > SHORT else []))
+
+
 def sketched(texts: pd.Series) -> pd.DataFrame:
-    """Content key, number of k-mers, word hashes (32 bits each) and sketches of each text."""
+    """Content key, number of k-mers, word hashes (32 bits each) and sketches (or exact keys) of each text."""
     keys, sizes, words_out, sketches = [], [], [], []
     for at in range(0, len(texts), 512):
         part = pa.array([t or "" for t in texts.iloc[at : at + 512]], pa.string())
@@ -101,7 +119,7 @@ def sketched(texts: pd.Series) -> pd.DataFrame:
                 keys.append(int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True))
                 sizes.append(len(kmers))
                 words_out.append(own)
-                sketches.append(sketch(kmers).view(np.int64) if len(kmers) else np.zeros(0, dtype=np.int64))
+                sketches.append(bucket_keys(kmers).view(np.int64) if len(kmers) else np.zeros(0, dtype=np.int64))
     return pd.DataFrame({"key": np.array(keys, dtype=np.int64), "kmers": np.array(sizes, dtype=np.int32), "words": words_out, "sketches": sketches}, index=texts.index)
 
 

@@ -98,6 +98,18 @@ def test_a_large_group_of_near_copies_around_one_text(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == {d: 0 if d < 1000 else d for d, _ in rows}
 
 
+def test_short_texts_of_different_length(spark):
+    rng = random.Random(6)
+    rows, n = [], 0
+    for length in [8] * 30 + [9] * 60 + [12] * 60 + [20] * 60 + [24] * 60:
+        words = [f"w{rng.randrange(10**9)}" for _ in range(length)]
+        more = [f"x{rng.randrange(10**9)}" for _ in range(max(1, (length - 4) // 4))]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words + more))]
+        n += 1
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
 def test_awkward_rows(spark, awkward, no_docs):
     got = neardup.near_duplicates(awkward).collect()
     assert len(got) == awkward.count() and sum(r["kept"] for r in got) == len({(r["class_id"], r["class_size"]) for r in got if r["doc_id"] is not None or r["class_size"] == 1})
