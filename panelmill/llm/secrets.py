@@ -32,9 +32,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # whole runs of 24 or more: the same spans a
 KINDS = {"assign": 0, "access": 1, "hex": 2, "novel": 3}
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
-SENSITIVE = re.compile(r"(?:credential|bearer|authorization|private|auth|signature|cookie|session|access|client|webhook|passphrase|key|secret|token|pwd)[a-z_]{0,16}[\"']?\x20{0,3}[:=]?\x20{0,3}[\"']?([A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{14,510}[A-Za-z0-9+/_=-])", re.I | re.A)
+SENSITIVE = re.compile(r"(?:credential|bearer|authorization|private|auth|signature|cookie|session|access|client|webhook|passphrase|key|secret|token|pwd)[a-z_]{0,16}[\"']?\x20{0,3}[:=]?\x20{0,3}[\"']?([A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{14,}[A-Za-z0-9+/_=-])", re.I | re.A)
 #: Context on either side of a candidate, in characters, and bytes per character from which it is novel.
 CONTEXT, NOVEL = 160, 0.62
+#: A longer candidate is novel if the whole or one of its pieces of up to this many characters is; it is reported whole.
+PIECE = 512
 DICTIONARY = " ".join(
     """
     import from return public private static final class function const let var self this null true false None
@@ -75,12 +77,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def novel(text: str, begin: int, end: int, novelty: Novelty) -> bool:
+    if novelty.rate(text, begin, end) >= NOVEL:
+        return True
+    pieces = -(-(end - begin) // PIECE)
+    edges = [begin + (end - begin) * i // pieces for i in range(pieces + 1)]
+    return pieces > 1 and any(novelty.rate(text, a, b) >= NOVEL for a, b in zip(edges[:-1], edges[1:], strict=True))
+
+
 def novel_spans(text: str, novelty: Novelty, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Incompressible strings in sensitive context that no base span covers."""
     found = []
     for m in SENSITIVE.finditer(text):
         begin, end = m.span(1)
-        if not any(b <= begin and end <= e for b, e, _ in known) and novelty.rate(text, begin, end) >= NOVEL:
+        if not any(b <= begin and end <= e for b, e, _ in known) and novel(text, begin, end, novelty):
             found.append((begin, end, "novel"))
     return found
 

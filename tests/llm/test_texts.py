@@ -149,6 +149,16 @@ def test_novelty_tells_keys_from_identifiers():
     assert secrets.redact("a password=abcdef12 b", secrets.scan("a password=abcdef12 b", novelty)) == "a [ASSIGN] b"
 
 
+@pytest.mark.parametrize("tail", ["", "documentation_" * 200])
+def test_long_secrets_are_reported_and_redacted_whole(tail):
+    rng = random.Random(8)
+    value = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1500)) + tail
+    text = f"Authorization: Bearer {value} end"
+    spans = secrets.scan(text, secrets.Novelty())
+    assert (22, 22 + len(value), "novel") in spans
+    assert secrets.redact(text, spans) == "Authorization: Bearer [NOVEL] end"
+
+
 def test_secrets_of_awkward_rows(spark, awkward, no_docs):
     assert secrets.span_digests(secrets.scan_secrets(awkward)).count() == awkward.count()
     kept = secrets.redact_secrets(awkward)
