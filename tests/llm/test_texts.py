@@ -166,118 +166,13 @@ def test_secrets_of_awkward_rows(spark, awkward, no_docs):
     assert secrets.scan_secrets(no_docs).count() == 0
 
 
-# --- language model -----------------------------------------------------------------------------------
+# --- words ---------------------------------------------------------------------------------------------
 
 
 def tokens(text):
     return re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + ["\0end"]
 
 
-def base_of(rows):
-    counts = Counter(t for d, text in rows if d is not None and zlib.crc32(str(d).encode()) % 5 != 1 for t in tokens(text))
-    n, v = sum(counts.values()), len(counts)
-    return n, [(d, len(t := tokens(text)), sum(counts[w] > 0 for w in t), sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)) for d, text in rows]
-
-
-def test_base_scores_and_held_out_perplexity(spark):
-    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
-    n, want = base_of([(r["doc_id"], r["text"]) for r in docs.collect()])
-    got = {r["doc_id"]: r for r in language_model.score_documents(docs).collect()}
-    assert len(got) == len(want)
-    for d, size, known, base in want:
-        r = got[d]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (size, known, n) and r["base_score"] == pytest.approx(base, rel=1e-9)
-        assert r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 1) and r["score"] < 0
-    held = [r for r in got.values() if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-
-
-def test_probabilities_sum_to_one():
-    rng = random.Random(3)
-    words = np.array(sorted(rng.getrandbits(60) for _ in range(50)), dtype="<u8")
-    spread = np.array([rng.randint(1, 5) for _ in words], dtype="<u1")
-    kinds = np.concatenate([np.sort(rng.sample(range(language_model.FINE), n)) for n in spread]).astype("<u1")
-    counts = np.array([rng.choice([1, 1, 2, 5, 400]) for _ in kinds], dtype="<i8")
-    row = {"bucket": 0, "words": words.tobytes(), "spread": spread.tobytes(), "classes": kinds.tobytes(), "counts": counts.tobytes()}
-    s = language_model.Settings(int(counts.sum()), len(words), 0.6, 0.5)
-    seating = language_model.Seating(row, s)
-    for sweep in range(3):
-        totals = seating.totals()
-        unknown = language_model.unknown_probabilities(totals, s)
-        for k in range(language_model.FINE):
-            p = seating.probabilities(totals, np.arange(len(words)), np.full(len(words), k))
-            assert (p > 0).all() and p.sum() + unknown[k] == pytest.approx(1.0)
-        seating.sweep(totals, sweep)
-        assert (seating.tables >= 1).all() and (seating.tables <= seating.count).all()
-
-
-def test_the_word_before_is_the_context(spark):
-    rng = random.Random(11)
-    follows = list(range(3000))
-    rng.shuffle(follows)
-    texts = [" ".join(f"a{i} b{follows[i]}" for i in rng.choices(range(3000), k=300)) for _ in range(200)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    held = [r for r in language_model.score_documents(docs).collect() if r["held_out"]]
-    # Half of the words are one of 3000, the others follow from the word before.
-    assert 10 ** (-sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held)) < 1.6 * 3000**0.5
-
-
-def test_probabilities_of_word_contexts_sum_to_one():
-    rng = random.Random(4)
-    words, before = (np.array(sorted(rng.getrandbits(60) for _ in range(n)), dtype="<u8") for n in (30, 40))
-    contexts = [np.sort(np.array(rng.sample(before.tolist(), rng.randint(1, 20)), dtype="<u8")) for _ in words]
-    counts = np.array([rng.choice([1, 1, 2, 5, 400]) for c in contexts for _ in c], dtype="<i8")
-    row = {"bucket": 0, "words": words.tobytes(), "spread": np.array([len(c) for c in contexts], dtype="<u4").tobytes(), "contexts": np.concatenate(contexts).tobytes(), "counts": counts.tobytes()}
-    s = language_model.Settings(int(counts.sum()), len(words), 0.6, 0.5, 0.7)
-    seating = language_model.Contexts(row, s)
-    customers = seating.by_context(seating.count)
-    for sweep in range(3):
-        totals, tables = seating.classes.totals(), seating.by_context(seating.tables)
-        every = language_model.Contexts(row | {"spread": np.full(len(words), len(before), dtype="<u4").tobytes(), "contexts": np.tile(before, len(words)).tobytes(), "counts": _dense(words, before, contexts, counts).tobytes(), "tables": seating.tables.astype("<i8").tobytes()}, s)
-        every.classes = seating.classes
-        at = np.searchsorted(seating.own, every.own)
-        p = every.probabilities(totals, *(np.where(np.isin(every.own, seating.own), x[np.minimum(at, len(x) - 1)], 0) for x in (customers, tables)))
-        unknown = language_model.unknown_probabilities(totals, s)
-        for u, b in enumerate(before):
-            i = np.searchsorted(seating.own, b)
-            c, t = (customers[i], tables[i]) if i < len(seating.own) and seating.own[i] == b else (0, 0)
-            escape = (language_model.STRENGTH + s.context * t) / (language_model.STRENGTH + c)
-            assert p.reshape(len(words), -1)[:, u].sum() + escape * unknown[int(b) % language_model.FINE] == pytest.approx(1.0)
-        seating.sweep(totals, tables, sweep)
-        assert (seating.tables >= 1).all() and (seating.tables <= seating.count).all()
-
-
-def _dense(words, before, contexts, counts):
-    out, at = np.zeros((len(words), len(before)), dtype="<i8"), 0
-    for w, c in enumerate(contexts):
-        out[w, np.searchsorted(before, c)] = counts[at : at + len(c)]
-        at += len(c)
-    return out
-
-
-def test_scores_of_awkward_rows(spark, awkward, no_docs, monkeypatch):
-    rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
-    n, want = base_of(rows)
-    got = sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in language_model.score_documents(awkward).collect())
-    assert got == sorted((d or 0, size, known, round(base, 6)) for d, size, known, base in want)
-    assert language_model.score_documents(no_docs).count() == 0
-    only_held = awkward.where("doc_id = 3")  # crc32('3') % 5 == 1 does not hold for every key; both cases have a result
-    assert language_model.score_documents(only_held).count() == 1
-
-
-def test_counts_beyond_32_bits_reach_the_documents():
-    import pyarrow as pa
-
-    n = 2**33 + 7
-    row = {"bucket": 0, "words": np.array([5], dtype="<u8").tobytes(), "spread": np.array([1], dtype="<u4").tobytes(), "counts": np.array([n], dtype="<i8").tobytes(), "chunks": np.array([0], dtype="<i8").tobytes(), "lengths": np.array([1], dtype="<i8").tobytes(), "places": np.array([0], dtype="<i4").tobytes()}
-    mean = {"bucket": 0, "mean": np.array([0.5], dtype="<f8").tobytes()}
-    (answer,) = language_model._answer((pa.scalar(0),), pa.Table.from_pylist([row | {"mean": None}, dict.fromkeys(row) | mean])).to_pylist()
-    docs = {"doc_ids": np.array([1], dtype="<i8"), "missing": np.array([0], dtype="<u1"), "held": np.array([0], dtype="<u1"), "sizes": np.array([1], dtype="<i8"), "pairs": np.array([0], dtype="<i4")}
-    whole = {"chunk": 0, "bucket": -1, "logs": None, "counts": None} | {k: v.tobytes() for k, v in docs.items()}
-    (got,) = language_model._score(language_model.Settings(n, 1, 0.5, 0.5))((pa.scalar(0),), pa.Table.from_pylist([whole, dict.fromkeys(whole) | answer])).to_pylist()
-    assert got["base_score"] == pytest.approx(math.log10((n + 0.5) / (n + 1)))
-
-
 def test_word_hashes_are_those_of_words():
     import pyarrow as pa
 
