@@ -1,30 +1,29 @@
 """Near duplicates by Order MinHash, verified by banded alignment.
 
 Words are runs of letters and digits of the lower-cased text. A k-mer is a run of five words,
-labelled with its occurrence number in the text. A sketch holds the K-mers with the L least values
-of one hash function, in text order; two texts agree in a sketch with about the probability J**L, less
+labelled with its occurrence number in the text. A sketch holds the k-mers with the LEAST least values
+of one hash function, in text order; two texts agree in a sketch with about the probability J**LEAST, less
 where the order differs, so agreement follows edit similarity rather than set overlap. Texts that
-agree in any of the M sketches are candidates.
-
-A short text has too few k-mers to sample from. Texts of up to SHORT k-mers, and those long enough to be
-similar to one, have keys that miss no pair: similarity 0.8 means that at least 0.8 n of a text's n k-mers
-are shared, so of its n - ceil(0.8 n) + 1 k-mers with the least hashes one is among those of the other text.
-
-A candidate pair is verified by aligning its two five-word sequences: with LCS the length of the
-longest common subsequence, similarity = LCS / (n1 + n2 - LCS). For similarity 0.8 at most a ninth of
-both lengths is inserted or deleted, so a band of that width around the diagonal is enough; the
-alignment runs bit-parallel inside the band. A class is a connected set of links.
-
-Copies of a text (equal words) are one node, so groups of copies are never expanded into pairs. In a
-bucket of candidates every node is first aligned with a leader, the node whose sketches are most
-common, rather than with every other one. Where a bucket still spans several components, the nodes
-outside its largest component are compared with all nodes of the bucket, in blocks and without a cap: a matrix
-product of folded k-mer counts, which is never below the number of shared k-mers, rules pairs out, and
-the alignment decides on the others.
+agree in any of the SKETCHES sketches are candidates. For texts of up to SHORT words, and those long enough
+to be similar to one, every k-mer is a key, so any two of them that share a run of five words are candidates.
+
+A candidate pair is verified by aligning its words: with LCS the length of the longest common subsequence,
+similarity = LCS / (n1 + n2 - LCS), and 0.8 or more is a link. At most a ninth of both lengths is then
+inserted or deleted, so a band of that width around the diagonal is enough; the alignment runs
+bit-parallel inside the band. (A word changed in five k-mers counts once. Whatever reaches 0.8 by
+aligned k-mers does so by words.) A class is a connected set of links.
+
+Copies of a text (equal words, by a digest of 128 bits) are one node, so groups of copies are never
+expanded into pairs. In a bucket of candidates every node is first aligned with a leader, the node whose
+sketches are most common, rather than with every other one. Where a bucket still spans several components,
+the nodes outside its largest component are compared with all nodes of the bucket, in blocks and without a
+cap: a matrix product of folded word counts, which is never below the number of shared words, rules pairs
+out, and the alignment decides on the others.
 
 Defined results: a null text is empty; texts without words are copies only if their characters are
 equal; a text below five words is one k-mer; rows with equal doc_id are judged each by itself; a
-class is named by its least doc_id (null if all are null); an empty table gives an empty result.
+class is named by its least doc_id (null if all are null); an empty table gives an empty result; other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -44,12 +43,12 @@ from panelmill.llm.components import connected
 from panelmill.llm.words import U64, hashed_words, mix, shingles, string_parts
 
 KMER, SIMILARITY = 5, 0.8
-SKETCHES, LEAST = 24, 5
-#: Up to so many k-mers, candidates are found by shared k-mers alone; partners of such texts have at most SHORT / SIMILARITY.
-SHORT = 20
+SKETCHES, LEAST = 24, 3
+#: Up to so many words, candidates are found by shared k-mers alone; partners of such texts have at most SHORT / SIMILARITY.
+SHORT = 24
 #: Nodes of a bucket on either side of one comparison, and numbers in one matrix of it.
 BLOCK, TILE = 1024, 1 << 22
-SKETCHED = "key long, kmers int, words binary, sketches array<long>"
+SKETCHED = "key binary, kmers int, words binary, sketches array<long>"
 _RNG = np.random.default_rng(5)
 _ODD = _RNG.integers(0, 2**63, SKETCHES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _SHIFT = _RNG.integers(0, 2**63, SKETCHES, dtype=np.int64).astype(U64)
@@ -90,20 +89,14 @@ def sketch(kmers: np.ndarray) -> np.ndarray:
     return out
 
 
-def exact_keys(kmers: np.ndarray) -> np.ndarray:
-    """The least k-mers of a text, so many that every similar text with such keys shares one."""
-    n = len(kmers)
-    return mix(np.sort(label_occurrences(kmers))[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1] + U64(SHORT))
-
-
-def bucket_keys(kmers: np.ndarray) -> np.ndarray:
-    """What candidates share at least one of: exact keys of short texts, sketches of others, both in between."""
-    exact = [exact_keys(kmers)] if len(kmers) * SIMILARITY <= SHORT + 1e-9 else []
-    return np.concatenate(exact + ([sketch(kmers)] if len(kmers) > SHORT else []))
+def bucket_keys(kmers: np.ndarray, words: int) -> np.ndarray:
+    """What candidates share at least one of: all k-mers of short texts, sketches of others, both in between."""
+    every = [mix(label_occurrences(kmers) + U64(SHORT))] if words * SIMILARITY <= SHORT else []
+    return np.concatenate(every + ([sketch(kmers)] if words > SHORT else []))
 
 
 def sketched(texts: pd.Series) -> pd.DataFrame:
-    """Content key, number of k-mers, word hashes (32 bits each) and sketches (or exact keys) of each text."""
+    """Content key, number of k-mers, word hashes (32 bits each) and keys of buckets of each text."""
     keys, sizes, words_out, sketches = [], [], [], []
     for at in range(0, len(texts), 512):
         part = pa.array([t or "" for t in texts.iloc[at : at + 512]], pa.string())
@@ -116,11 +109,11 @@ def sketched(texts: pd.Series) -> pd.DataFrame:
             for i in range(len(counts)):
                 own, kmers = words[word_at[i] : word_at[i + 1]].astype("<u4").tobytes(), runs[run_at[i] : run_at[i + 1]]
                 content = own or b"\0" + raw[a + i].encode()
-                keys.append(int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True))
+                keys.append(hashlib.blake2b(content, digest_size=16).digest())
                 sizes.append(len(kmers))
                 words_out.append(own)
-                sketches.append(bucket_keys(kmers).view(np.int64) if len(kmers) else np.zeros(0, dtype=np.int64))
-    return pd.DataFrame({"key": np.array(keys, dtype=np.int64), "kmers": np.array(sizes, dtype=np.int32), "words": words_out, "sketches": sketches}, index=texts.index)
+                sketches.append(bucket_keys(kmers, int(counts[i])).view(np.int64) if len(kmers) else np.zeros(0, dtype=np.int64))
+    return pd.DataFrame({"key": keys, "kmers": np.array(sizes, dtype=np.int32), "words": words_out, "sketches": sketches}, index=texts.index)
 
 
 def banded_lcs(x: np.ndarray, y: np.ndarray, band: int) -> int:
@@ -153,7 +146,7 @@ def banded_lcs(x: np.ndarray, y: np.ndarray, band: int) -> int:
 
 
 def similar(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether LCS / (n1 + n2 - LCS) of two k-mer sequences is at least the similarity."""
+    """Whether LCS / (n1 + n2 - LCS) of two sequences is at least the similarity."""
     total = len(x) + len(y)
     need = int(np.ceil(least / (1 + least) * total - 1e-9))
     if min(len(x), len(y)) < need:
@@ -180,10 +173,14 @@ def _kmers(words: bytes) -> np.ndarray:
     return shingles(own, np.array([len(own)]), KMER)[0]
 
 
+def _words(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype="<u4").astype(U64)
+
+
 def _verify(batches):
     for batch in batches:
         a, b = batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist()
-        ok = pa.array([similar(_kmers(x), _kmers(y)) for x, y in zip(a, b, strict=True)], pa.bool_())
+        ok = pa.array([similar(_words(x), _words(y)) for x, y in zip(a, b, strict=True)], pa.bool_())
         yield batch.select(["a", "b"]).filter(ok)
 
 
@@ -199,10 +196,8 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def near_classes(sketches: DataFrame) -> DataFrame:
-    """(key, root) for content keys that have near duplicates; sketches: origin, key, kmers, words, sketches."""
-    first = sketches.groupBy("key").agg(F.min("origin").alias("origin"))
-    nodes = sketches.select("origin", "words", "sketches").join(first, "origin")
+def near_classes(nodes: DataFrame) -> DataFrame:
+    """(key, root) for texts that have near duplicates; nodes: key (a number), words, sketches."""
     buckets = nodes.select("key", F.explode("sketches").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = stored(buckets.join(sizes, "bucket"))
@@ -236,19 +231,19 @@ def open_links(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFra
     return stored(members.unionByName(probes).groupBy("bucket", "p", "m").applyInArrow(_block_links, "a long, b long"))
 
 
-def _folded(kmers: list[np.ndarray], width: int) -> np.ndarray:
-    """Counts of k-mers by hash bin. The product of two rows is never less than the k-mers they share."""
-    row = np.repeat(np.arange(len(kmers)), [len(k) for k in kmers])
-    bins = (np.concatenate(kmers) & U64(width - 1)).astype(np.int64)
-    return np.bincount(row * width + bins, minlength=len(kmers) * width).reshape(len(kmers), width).astype(np.float32)
+def _folded(texts: list[np.ndarray], width: int) -> np.ndarray:
+    """Counts of words by hash bin, a word's n-th occurrence in a bin of its own. The product of two rows is never less than the words they share."""
+    row = np.repeat(np.arange(len(texts)), [len(k) for k in texts])
+    bins = np.concatenate([mix(label_occurrences(t)) for t in texts]) & U64(width - 1)
+    return np.bincount(row * width + bins.astype(np.int64), minlength=len(texts) * width).reshape(len(texts), width).astype(np.float32)
 
 
 def _block_links(key: tuple, rows: pa.Table) -> pa.Table:
     """Links between the probes and the members of a block that join different components."""
     table = rows.combine_chunks().sort_by("key")
     keys, roots, probe = (table.column(k).to_numpy(zero_copy_only=False) for k in ("key", "root", "probe"))
-    kmers = [_kmers(w) for w in table.column("words").to_pylist()]
-    sizes = np.array([len(k) for k in kmers])
+    texts = [_words(w) for w in table.column("words").to_pylist()]
+    sizes = np.array([len(k) for k in texts])
     width = 1 << int(16 * sizes.max()).bit_length()
     tile = max(1, TILE // width)
     parent = {int(r): int(r) for r in roots}
@@ -261,46 +256,52 @@ def _block_links(key: tuple, rows: pa.Table) -> pa.Table:
     left, right, links = np.flatnonzero(probe), np.flatnonzero(~probe), []
     for at in range(0, len(left), tile):
         mine = left[at : at + tile]
-        folded = _folded([kmers[i] for i in mine], width)
+        folded = _folded([texts[i] for i in mine], width)
         for to in range(0, len(right), tile):
             theirs = right[to : to + tile]
             need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (sizes[mine][:, None] + sizes[theirs][None, :]) - 1e-9)
-            fits = (folded @ _folded([kmers[i] for i in theirs], width).T >= need) & (np.minimum(sizes[mine][:, None], sizes[theirs][None, :]) >= need)
+            fits = (folded @ _folded([texts[i] for i in theirs], width).T >= need) & (np.minimum(sizes[mine][:, None], sizes[theirs][None, :]) >= need)
             for i, j in zip(*np.nonzero(fits & (roots[mine][:, None] != roots[theirs][None, :])), strict=True):
                 i, j = mine[i], theirs[j]
                 a, b = find(int(roots[i])), find(int(roots[j]))
                 # Once two components are joined, their other pairs change no class.
-                if a != b and similar(kmers[i], kmers[j]):
+                if a != b and similar(texts[i], texts[j]):
                     parent[a] = b
                     links.append((int(keys[i]), int(keys[j])))
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def classed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs with origin (the row's number), key and root (equal for near duplicates).
+def classed(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The written table (row: a struct of the columns of docs, origin: the row's number, omh: its sketches), and
+    one row for each distinct text: key, first (the least doc_id's row: n, d, o), root (equal for near duplicates), copies.
 
-    The table is written once with its sketches, and read again for every later step.
+    Texts are read and sketched once. Copies are summed up before anything is joined, so a text that a third
+    of all rows share is one row from there on.
     """
-    rows = docs.withColumn("__origin", F.monotonically_increasing_id()).withColumn("__omh", pandas_udf(sketched, SKETCHED)(F.col(text)))
-    table = stored(rows)
-    sketches = table.select(F.col("__origin").alias("origin"), "__omh.key", "__omh.kmers", "__omh.words", "__omh.sketches")
-    roots = near_classes(sketches)
-    named = table.withColumn("__key", F.col("__omh")["key"]).drop("__omh")
-    return named.join(roots.select(F.col("key").alias("__key"), "root"), "__key", "left").withColumn("__root", F.coalesce("root", "__key")).drop("root")
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    table = stored(docs.select(columns.alias("row"), F.monotonically_increasing_id().alias("origin"), pandas_udf(sketched, SKETCHED)(F.col(text)).alias("omh")))
+    # Null keys sort behind all others, so a class is named by a key if any row has one.
+    doc = F.col("row.doc_id").cast("long")
+    order = F.struct(doc.isNull().alias("n"), doc.alias("d"), F.col("origin").alias("o"))
+    texts = stored(table.groupBy(F.col("omh.key").alias("key")).agg(F.min("origin").alias("node"), F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")))
+    nodes = table.select("origin", "omh.words", "omh.sketches").join(texts.select(F.col("node").alias("origin")), "origin").withColumnRenamed("origin", "key")
+    roots = near_classes(nodes).select(F.col("key").alias("node"), "root")
+    return table, texts.join(roots, "node", "left").select("key", "first", "copies", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its class), class_size, kept (true for one row of each class)."""
-    rows = classed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "__origin", "__root")
-    # Null keys sort behind all others, so a class is named by a key if any row has one.
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("__origin").alias("o"))
-    classes = rows.groupBy("__root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(classes, "__root").select("doc_id", F.col("first.d").alias("class_id"), "class_size", (F.col("first.o") == F.col("__origin")).alias("kept"))
+    table, texts = classed(docs.select("doc_id", "text"))
+    texts = stored(texts)
+    # Written tables on both sides of each join let Spark split the rows of a large class or of a frequent text.
+    classes = stored(texts.groupBy("root").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size")))
+    named = stored(texts.select("key", "root").join(classes, "root").select("key", "first", "class_size"))
+    rows = table.select(F.col("row.doc_id").cast("long").alias("doc_id"), "origin", F.col("omh.key").alias("key"))
+    return rows.join(named, "key").select("doc_id", F.col("first.d").alias("class_id"), "class_size", (F.col("first.o") == F.col("origin")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs, with one row of each class of near duplicates (the least doc_id, then the first row)."""
-    rows = stored(classed(docs))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("__origin").alias("o"))
-    first = rows.groupBy("__root").agg(F.min(order)["o"].alias("__origin"))
-    return rows.join(first.select("__origin"), "__origin", "left_semi").select(*docs.columns)
+    table, texts = classed(docs)
+    first = stored(texts.groupBy("root").agg(F.min("first")["o"].alias("origin")).select("origin"))
+    return table.select("row", "origin").join(first, "origin", "left_semi").select("row.*")

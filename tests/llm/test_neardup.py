@@ -60,14 +60,14 @@ def components(pairs):
 def brute(rows):
     """Class by row number: all pairs that share any k-mer are aligned."""
     facts = neardup.sketched(pd.Series([t for _, t in rows]))
-    kmers = [neardup._kmers(w) for w in facts["words"]]
+    words = [neardup._words(w) for w in facts["words"]]
     holders, pairs = defaultdict(list), set()
-    for i, own in enumerate(kmers):
-        for k in set(own.tolist()):
+    for i, own in enumerate(facts["words"]):
+        for k in set(neardup._kmers(own).tolist()):
             holders[k].append(i)
     for group in holders.values():
         pairs.update((a, b) for n, b in enumerate(group) for a in group[:n])
-    links = [(a, b) for a, b in pairs if neardup.similar(kmers[a], kmers[b])]
+    links = [(a, b) for a, b in pairs if neardup.similar(words[a], words[b])]
     by_key = defaultdict(list)
     for i, k in enumerate(facts["key"]):
         by_key[k].append(i)
@@ -76,14 +76,34 @@ def brute(rows):
     return [found.get(i, i) for i in range(len(rows))]
 
 
-def test_classes_equal_brute_force(spark):
+def test_classes_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
     want = {rows[i][0]: rows[c][0] for i, c in enumerate(brute(rows))}
     got = {r["doc_id"]: r for r in neardup.near_duplicates(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()}
-    assert {d: r["class_id"] for d, r in got.items()} == want
+    # Sketches are drawn, so a pair near the edge may stay apart; none is joined that brute force leaves apart.
+    assert all(want[r["class_id"]] == want[d] for d, r in got.items())
+    assert sum(r["class_id"] == want[d] for d, r in got.items()) >= 0.998 * len(want)
     assert all(r["kept"] == (d == r["class_id"]) for d, r in got.items())
 
 
+@pytest.mark.parametrize("length", [12, 30, 100, 200, 400])
+def test_planted_edits_are_caught(spark, length):
+    """Copies with 1 to 9 % of the words changed, and as many inserted or left out as keep the similarity at 0.8."""
+    rng = random.Random(length)
+    rows, n = [], 0
+    for _ in range(150):
+        words = [f"w{rng.randrange(20_000)}" for _ in range(length)]
+        own = list(words)
+        for at in rng.sample(range(length), max(1, int(length * rng.uniform(0.01, 0.09)))):
+            kind = rng.randrange(3)
+            own[at] = f"x{rng.randrange(10**6)}" if kind else own[at] + f" y{rng.randrange(10**6)}"
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(own))]
+        n += 1
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(c in (d, d - d % 2) for d, c in got.items())
+    assert sum(c == d - 1 for d, c in got.items() if d % 2) >= 0.95 * n
+
+
 def test_a_large_group_of_near_copies_around_one_text(spark):
     rng = random.Random(4)
     base = [f"w{rng.randrange(5000)}" for _ in range(300)]
@@ -116,6 +136,9 @@ def test_awkward_rows(spark, awkward, no_docs):
     by = {r["doc_id"]: r for r in got}
     assert by[1]["class_id"] == -8 and by[2]["class_id"] == 2 and by[3]["class_id"] == 2
     assert neardup.near_duplicates(no_docs).count() == 0
+    clashing = awkward.selectExpr("doc_id", "text", "lang AS root", "source AS __key", "n_chars AS key", "shard AS origin", "tie AS omh", "score AS `a.b`", "n_chars AS node", "n_chars AS row")
+    kept = neardup.deduplicate(clashing)
+    assert kept.columns == clashing.columns and kept.count() == len({r["text"] or "" for r in awkward.collect()})
     kept = neardup.deduplicate(awkward)
     assert kept.columns == awkward.columns
     texts = [r["text"] for r in kept.collect()]
