@@ -42,8 +42,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.splitter = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
         self.typecode = {2: "H", 4: "I"}[self.dtype.itemsize]
@@ -52,6 +50,8 @@ class PieceEncoder:
         self.inner: dict[str, bytes] = {}
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark, self.mark_id = special[-1] if special else ("", -1)
+        #: How control strings open; a text with one goes to the library whole, which gives the string its own id.
+        self.opening = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -68,11 +68,11 @@ class PieceEncoder:
                 out[p] = array(self.typecode, [t.id for t in tokenize(form)]).tobytes()
             else:
                 other.append(p)
-        plain = [p for p in other if "<|" not in p] if self.mark else []
+        plain = other if self.mark else []
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
             text = self.mark.join([lead + p for p in part])
-            ids = np.array(self.splitter.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
             cuts = np.flatnonzero(ids == self.mark_id)
             if len(cuts) != len(part) - 1:
                 raise ValueError("the special token does not mark the cuts")
@@ -127,6 +127,8 @@ class PieceEncoder:
 
     def _cut(self, text: str) -> list[str] | None:
         """Pieces of a text (behind its first piece, if spaces are kept), or None if only the whole is safe."""
+        if any(o in text for o in self.opening):
+            return None
         if not self.keeps_space and not ODD_OR_BEYOND.search(text):
             return text.lower().split()
         if ODD_SPACE.search(text):
