@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/panelmill-{uuid.uuid4().hex}"
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a folder or file as Spark names it (file, hdfs, s3a, gs), and the path there."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write a table to the shared folder and read it again; this cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -53,6 +60,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sized_partitions(df: DataFrame, size: int) -> int:
+    """Partitions of about size bytes by Spark's own estimate of the table (as in explain("cost")), at least the shuffle partitions.
+
+    Where Spark knows no size, the shuffle partitions are what is left.
+    """
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(partitions(df.sparkSession), -(-estimate // size) if estimate < 1 << 60 else 0)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -8,13 +8,15 @@ place where its item would begin, and Myers' bit-parallel edit distance decides
 Texts and items are compared lower-cased, with every white-space character as a space; positions are
 those of the original text.
 
-The items are the stated query set: they go to the tasks in groups of at most GROUP_CHARS characters,
-one pass over the documents for each group, so what a task holds stays bounded however large the
-benchmark is.
+The items are the stated query set: they are written to the shared folder in groups of about GROUP_CHARS
+characters, one pass over the documents for each group; each Python worker reads the group of its
+pass there, so neither the driver nor a closure ever holds the benchmark, and a task holds one group.
 
-Defined results: null or empty texts hold nothing; items below least_chars characters (null ones
-included) are not searched, as they occur in ordinary text; items with equal text are each reported;
-a repeated row is searched each by itself; an empty table gives an empty result.
+Items below SHORT_CHARS characters occur in ordinary text, so they are searched without edits and as whole words.
+
+Defined results: null or empty texts hold nothing; null items, those of white space alone and those with a null item_id
+are not searched; item_id has to be an integer; items with equal text are each reported; a repeated row is
+searched each by itself; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ from collections.abc import Iterator
 import ahocorasick
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from panelmill.llm.common import text_or_empty
+from panelmill.llm.common import file_system, shared_dir, text_or_empty
 
-RATE, LEAST_CHARS = 0.05, 24
+RATE, SHORT_CHARS = 0.05, 24
 GROUP_CHARS = 8_000_000
 _SPACE = re.compile(r"[^\S ]")
 LEAKS = "doc_id long, item_id long, begin long, end long, distance int"
@@ -84,7 +87,7 @@ class Matcher:
     """All items of one group, ready to search texts."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
-        self.items = [(key, text, int(len(text) * rate), masks_of(text), masks_of(text[::-1])) for key, text in items]
+        self.items = [(key, text, int(len(text) * rate) if len(text) >= SHORT_CHARS else 0, masks_of(text), masks_of(text[::-1])) for key, text in items]
         self.automaton = ahocorasick.Automaton()
         found: dict[str, list[tuple[int, int]]] = {}
         for number, (_, text, k, _, _) in enumerate(self.items):
@@ -121,6 +124,8 @@ class Matcher:
                 stop = low + match[1]
                 back = myers(backward, m, text[max(0, stop - m - k) : stop][::-1], match[0])
                 start = stop - (back[1] if back else m)
+                if m < SHORT_CHARS and (text[start - 1 : start].isalnum() or text[stop : stop + 1].isalnum()):
+                    continue
                 out.append((key, start, stop, match[0]))
                 done = max(begin, stop - m + k)
         return sorted(set(out), key=lambda r: (r[1], r[0], r[2]))
@@ -129,29 +134,33 @@ class Matcher:
 _MATCHERS: dict[tuple, Matcher] = {}
 
 
-def _matcher(items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
-    """The matcher of this Python process for a group of items."""
-    if (items, rate) not in _MATCHERS:
+def _matcher(folder: str, rate: float) -> Matcher:
+    """The matcher of this Python process for a group of items, read from its folder."""
+    if (folder, rate) not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[items, rate] = Matcher(list(items), rate)
-    return _MATCHERS[items, rate]
+        system, path = file_system(folder)
+        rows = pq.read_table(path, filesystem=system, columns=["item_id", "text"], partitioning=None)
+        items = [(k, normal(t)) for k, t in zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), strict=True) if t.strip()]
+        _MATCHERS[folder, rate] = Matcher(sorted(items), rate)
+    return _MATCHERS[folder, rate]
 
 
-def item_groups(benchmark: DataFrame, least_chars: int = LEAST_CHARS) -> list[tuple[tuple[int, str], ...]]:
-    """Groups of normalised items. The number of groups follows the size of the benchmark, which is counted first."""
-    rows = benchmark.select("item_id", "text").where((F.length("text") >= least_chars) & F.col("item_id").isNotNull())
+def item_groups(benchmark: DataFrame) -> list[str]:
+    """Folders of the groups of items. Their number follows the size of the benchmark, which is counted first."""
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     size = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    number = max(1, -(-size // GROUP_CHARS))
-    out = []
-    for group in range(number):
-        own = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(number).cast("long")) == group) if number > 1 else rows
-        out.append(tuple(sorted((r["item_id"], normal(r["text"])) for r in own.toLocalIterator())))
-    return [g for g in out if g]
+    number, base = -(-size // GROUP_CHARS), f"{shared_dir(spark)}/items"
+    if number:
+        group = F.pmod(F.xxhash64("item_id", "text"), F.lit(number).cast("long"))
+        rows.withColumn("item_group", group).repartition("item_group").write.partitionBy("item_group").parquet(base)
+    present = [r[0] for r in spark.read.parquet(base).select("item_group").distinct().collect()] if number else []
+    return [f"{base}/item_group={g}" for g in sorted(present)]
 
 
-def _search(items: tuple, rate: float):
+def _search(folder: str, rate: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(items, rate)
+        matcher = _matcher(folder, rate)
         for batch in batches:
             found = [(doc, *hit) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for hit in matcher.search(text)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
@@ -164,17 +173,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
     """One row per occurrence of a benchmark item: doc_id, item_id, begin, end, distance."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     out = docs.sparkSession.createDataFrame([], LEAKS)
-    for items in item_groups(benchmark):
-        out = out.unionByName(texts.mapInArrow(_search(items, rate), LEAKS))
+    for folder in item_groups(benchmark):
+        out = out.unionByName(texts.mapInArrow(_search(folder, rate), LEAKS))
     return out
 
 
-def holds_leak(items: tuple, rate: float = RATE, text: str = "text") -> Column:
-    """Whether a text holds an item of the group."""
+def holds_leak(folder: str, rate: float = RATE, text: str = "text") -> Column:
+    """Whether a text holds an item of the group in a folder."""
 
     @pandas_udf("boolean")
     def holds(texts: pd.Series) -> pd.Series:
-        matcher = _matcher(items, rate)
+        matcher = _matcher(folder, rate)
         return pd.Series([bool(t) and bool(matcher.search(t)) for t in texts], index=texts.index, dtype=bool)
 
     return holds(F.col(text))
@@ -182,6 +191,6 @@ def holds_leak(items: tuple, rate: float = RATE, text: str = "text") -> Column:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows and columns of docs, less the documents that hold a benchmark item."""
-    for items in item_groups(benchmark):
-        docs = docs.where(~holds_leak(items, rate))
+    for folder in item_groups(benchmark):
+        docs = docs.where(~holds_leak(folder, rate))
     return docs

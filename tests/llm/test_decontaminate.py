@@ -80,3 +80,10 @@ def test_groups_of_items(spark, monkeypatch):
     split = sorted(map(tuple, D.find_leaks(docs, bench).collect()))
     monkeypatch.setattr(D, "GROUP_CHARS", 8_000_000)
     assert split == sorted(map(tuple, D.find_leaks(docs, bench).collect()))
+
+
+def test_short_items_are_whole_words_without_edits(spark):
+    bench = spark.createDataFrame([(1, "forty-two"), (2, "in Paris"), (3, "42"), (4, "  ")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "It is forty-two, found in paris."), (2, "forty-twos, in Parish, 421 and x42"), (3, "(42)"), (4, "fortytwo in  Paris"), (5, None)], "doc_id long, text string")
+    assert sorted(tuple(r)[:2] for r in D.find_leaks(docs, bench).collect()) == [(1, 1), (1, 2), (3, 3)]
+    assert [r["doc_id"] for r in D.without_leaks(docs, bench).orderBy("doc_id").collect()] == [2, 4, 5]
