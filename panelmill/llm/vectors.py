@@ -7,9 +7,9 @@ are one node with a count, so groups of copies are never expanded into pairs; a
 BLOCK is dealt over pairs of blocks. A pair that shares several lists counts in the one of its least
 common pivot. Tasks return sums and local roots, never pairs.
 
-The pivots are a bounded sample (at most MOST_PIVOTS vectors out of twice as many, the first by a
-seeded hash, none within a cosine of 0.9 of another); their number grows with the square root of the
-number of vectors. Every vector is indexed.
+The pivots are a sample of 2 sqrt(n) out of n vectors of a length (the first of twice as many by a seeded hash,
+none within a cosine of 0.9 of another; LEAST_PIVOTS at least), so an inverted list grows with the square root, too;
+for 10**9 vectors of 64 numbers that is 32 MB. Every vector is indexed.
 
 Defined results: null labels, null, empty or zero vectors and those with null or non-finite
 components link with nothing and stand alone; vectors of different lengths do not link; rows with an
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from panelmill.llm.components import connected
 
 COSINE = 0.98
 PREFIX, SHARED, BLOCK = 10, 3, 1024
-LEAST_PIVOTS, MOST_PIVOTS = 64, 4096
+LEAST_PIVOTS = 64
 LINKS = "node long, links long, root long"
 
 
@@ -46,8 +47,9 @@ def prefixes(units: np.ndarray, pivots: np.ndarray, length: int = PREFIX) -> np.
     return np.take_along_axis(part, np.argsort(-np.take_along_axis(near, part, axis=1), axis=1, kind="stable"), axis=1).astype(np.int32)
 
 
-def _describe(pivots: dict[int, np.ndarray]):
+def _describe(shipped: Broadcast):
     def describe(batches):
+        pivots = shipped.value
         for batch in batches:
             out = []
             width = batch.column("width").to_numpy()
@@ -61,6 +63,15 @@ def _describe(pivots: dict[int, np.ndarray]):
     return describe
 
 
+def _holds(prefix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Which of some pivots (sorted) each prefix holds, as 0 and 1."""
+    at = np.minimum(np.searchsorted(pivots, prefix), len(pivots) - 1)
+    row, column = np.nonzero(pivots[at] == prefix)
+    out = np.zeros((len(prefix), len(pivots)), dtype=np.float32)
+    out[row, at[row, column]] = 1
+    return out
+
+
 def _least_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least pivot that both of two prefixes hold, row by row."""
     same = (a[:, :, None] == b[:, None, :]).any(axis=2)
@@ -90,11 +101,13 @@ def _links_in(key: tuple, rows: pa.Table) -> pa.Table:
     prefix = np.array(table.column("prefix").combine_chunks().flatten()).reshape(len(node), -1).astype(np.int32)
     a, b = np.flatnonzero(side == left), np.flatnonzero(side == right)
     links, pairs_i, pairs_j = np.zeros(len(node), dtype=np.int64), [], []
-    held = np.zeros((len(node), int(prefix.max(initial=0)) + 1), dtype=np.float32)
-    held[np.arange(len(node))[:, None], prefix] = 1
     for at in range(0, len(a), 256):
         part = a[at : at + 256]
-        near = (units[part] @ units[b].T >= COSINE) & (held[part] @ held[b].T >= min(SHARED, prefix.shape[1]))
+        # First the pivots that two prefixes share; then the cosines of the rows and columns that have such a pair.
+        own = np.unique(prefix[part])
+        near = _holds(prefix[part], own) @ _holds(prefix[b], own).T >= min(SHARED, prefix.shape[1])
+        row, column = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        near[np.ix_(row, column)] &= units[part[row]] @ units[b[column]].T >= COSINE
         if left == right:
             near &= b[None, :] > part[:, None]
         i, j = np.nonzero(near)
@@ -112,10 +125,10 @@ def _links_in(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def choose_pivots(nodes: DataFrame, seed: int = 3) -> dict[int, np.ndarray]:
-    """Pivots for each length of vectors. At most twice MOST_PIVOTS vectors of a length come to the driver."""
+    """Pivots for each length of vectors. Of n vectors of a length, 4 sqrt(n) come to the driver."""
     out = {}
     for width, n in nodes.groupBy("width").count().collect():
-        number = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 * np.sqrt(n))))
+        number = int(max(LEAST_PIVOTS, 2 * np.sqrt(n)))
         rows = nodes.where(F.col("width") == width).orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(2 * number).select("embedding").toArrow()
         out[width] = apart(unit_rows(rows.column("embedding").combine_chunks(), width))[:number]
     return out
@@ -138,11 +151,11 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~odd & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select("vec_id", "label", "embedding").withColumn("sound", F.coalesce(sound, F.lit(False)))
-    # The node of a row that can link is its content; each of the others is a node of its own.
-    rows = rows.withColumn("node", F.when(F.col("sound"), F.xxhash64("label", "embedding")))
-    nodes = stored(rows.where("sound").groupBy("node", "label", "embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least_id")).withColumn("width", F.size("embedding")))
+    # Equal rows that can link are one node, found by a digest of 128 bits; each of the others stands alone.
+    rows = rows.withColumns({"h1": F.when(F.col("sound"), F.xxhash64("label", "embedding")), "h2": F.when(F.col("sound"), F.xxhash64(F.lit(1), "label", "embedding"))})
+    nodes = stored(rows.where("sound").groupBy("h1", "h2", "label", "embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least_id")).withColumns({"width": F.size("embedding"), "node": F.monotonically_increasing_id()}))
     pivots = choose_pivots(nodes)
-    described = nodes.select("node", "label", "width", "copies", "embedding").mapInArrow(_describe(pivots), "node long, label int, width int, copies long, embedding array<float>, prefix array<int>")
+    described = nodes.select("node", "label", "width", "copies", "embedding").mapInArrow(_describe(vectors.sparkSession.sparkContext.broadcast(pivots)), "node long, label int, width int, copies long, embedding array<float>, prefix array<int>")
     described = stored(described)
     posted = described.withColumn("pivot", F.explode("prefix"))
     sizes = posted.groupBy("label", "width", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -155,11 +168,12 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     found = stored(posted.groupBy("label", "pivot", "width", "left", "right").applyInArrow(_links_in, LINKS))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = nodes.select("node", "copies", "least_id").join(sums, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = nodes.select("node", "h1", "h2", "copies", "least_id").join(sums, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known = known.join(named, "root").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    known = known.join(stored(named), "root").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     alone = rows.where(~F.col("sound")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    linked = rows.where("sound").select("vec_id", "node").join(known, "node").select("vec_id", "n_links", "component_id")
+    # Written tables on both sides let Spark split the rows of a frequent vector.
+    linked = rows.where("sound").select("vec_id", "h1", "h2").join(stored(known), ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
