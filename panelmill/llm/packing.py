@@ -23,15 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import stored, text_or_empty
+from panelmill.llm.common import partitions, stored, text_or_empty
 from panelmill.llm.tokens import encoder
 from panelmill.llm.words import hashed_words, string_parts
 
 DIMENSIONS, BITS, BINS = 3, 16, 512
 ENCODED = "doc_id long, origin long, curve_key long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: Tokens of one range of the curve.
-RANGE_TOKENS = 4 << 20
+#: Tokens of one range of the curve: as few as the first number while Spark's shuffle partitions cover all ranges, up to the second beyond.
+LEAST_TOKENS, RANGE_TOKENS = 4 << 20, 64 << 20
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -147,7 +147,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = 2048, keeps_s
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("origin"), text_or_empty().alias("text"))
     encoded = stored(rows.mapInArrow(_encode(vocabulary, keeps_space, end_id), ENCODED))
     tokens = encoded.agg(F.sum("n_tokens")).first()[0] or 0
-    ranges = max(1, -(-tokens // RANGE_TOKENS))
+    ranges = max(1, min(partitions(docs.sparkSession), -(-tokens // LEAST_TOKENS)), -(-tokens // RANGE_TOKENS))
     along = encoded.repartitionByRange(ranges, "curve_key", "doc_id", "origin").sortWithinPartitions("curve_key", "doc_id", "origin")
     width = 2 if _small(vocabulary) else 4
     return along.select("doc_id", "ids").mapInArrow(_pack(length, width), PIECES)
