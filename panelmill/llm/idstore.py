@@ -4,7 +4,8 @@ A shard holds the ids of consecutive documents in ascending key order, a key log
 minimal perfect hash (levels of bit arrays; a key is settled on the first level where no other key
 shares its bit, and its slot is the rank of that bit) leads from a key to a slot with a stored
 fingerprint, the first row and the number of rows of that key. A lookup reads a bounded number of
-bits, one fingerprint and two offsets, whatever the shard's size.
+bits, one fingerprint and two offsets, whatever the shard's size. The manifest has the first and last key of
+each shard; Store finds a key's shard there by binary search.
 
 Files are written under a temporary name and renamed, so a repeated task attempt replaces its file
 with the same bytes. Layout, little-endian: MAGIC, HEADER as int64, then the sections in their order.
@@ -22,12 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import partitions, shared_dir, stored, text_or_empty
+from panelmill.llm.common import file_system, partitions, shared_dir, sized_partitions, stored, text_or_empty
 from panelmill.llm.tokens import encoder
 from panelmill.llm.words import U64, mix
 
@@ -37,7 +37,9 @@ HEADER = 8
 GAMMA, MOST_LEVELS = 2.0, 40
 #: Ids that a task holds before it closes a shard.
 SHARD_IDS = 16 << 20
-MANIFEST = "part int, seq int, file string, rows long, ids long"
+MANIFEST = "part int, seq int, file string, rows long, ids long, first_key long, last_key long"
+#: Bytes of input for one task, and shards that a store keeps open.
+TASK_BYTES, OPEN_SHARDS = 128 << 20, 64
 READ = "doc_id long, start long, n_tokens long, ids binary"
 
 
@@ -119,7 +121,7 @@ class Shard:
     """Keyed and ordered access to one shard file; ids are read by range, never the whole payload."""
 
     def __init__(self, file: str):
-        system, path = fs.FileSystem.from_uri(file)
+        system, path = file_system(file)
         self.source = system.open_input_file(path)
         if self.source.read_at(len(MAGIC), 0) != MAGIC:
             raise ValueError(f"{file} is no id shard")
@@ -158,10 +160,32 @@ class Shard:
         return [np.frombuffer(self.read(r, r + 1), dtype=f"<u{self.width}") for r in range(first, first + count)]
 
 
+class Store:
+    """Keyed access to all shards. Holds the manifest, one row per shard, and the last OPEN_SHARDS shards used."""
+
+    def __init__(self, manifest: DataFrame):
+        rows = manifest.where("first_key IS NOT NULL").select("part", "seq", "file", "first_key", "last_key").orderBy("part", "seq").toArrow()
+        self.files = rows.column("file").to_pylist()
+        self.first, self.last = (rows.column(k).to_numpy() for k in ("first_key", "last_key"))
+        self.open: dict[str, Shard] = {}
+
+    def shard(self, file: str) -> Shard:
+        found = self.open.pop(file, None) or Shard(file)
+        self.open[file] = found
+        if len(self.open) > OPEN_SHARDS:
+            del self.open[next(iter(self.open))]
+        return found
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of the documents with a key: two binary searches, and one shard unless the key's rows go on in the next."""
+        low, high = np.searchsorted(self.last, key), np.searchsorted(self.first, key, side="right")
+        return [ids for file in self.files[low:high] for ids in self.shard(file).get(key)]
+
+
 def _write(path: str, vocabulary: str, keeps_space: bool, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(vocabulary, keeps_space), TaskContext.get().partitionId()
-        system, base = fs.FileSystem.from_uri(path)
+        system, base = file_system(path)
         system.create_dir(base, recursive=True)
         width, end = encode.dtype.itemsize, np.array([end_id], dtype=encode.dtype).tobytes()
         keys, documents, held, done = [], [], 0, []
@@ -173,7 +197,8 @@ def _write(path: str, vocabulary: str, keeps_space: bool, end_id: int):
                 for piece in pack_shard(keys, documents, width):
                     out.write(piece)
             system.move(f"{base}/{temporary}", f"{base}/{name}")
-            done.append((part, len(done), f"{path}/{name}", len(keys), held))
+            keyed = [k for k in (keys[sum(k is None for k in keys) :][:1] + keys[-1:]) if k is not None] or [None, None]
+            done.append((part, len(done), f"{path}/{name}", len(keys), held, keyed[0], keyed[-1]))
             keys, documents, held = [], [], 0
 
         for batch in batches:
@@ -187,8 +212,8 @@ def _write(path: str, vocabulary: str, keeps_space: bool, end_id: int):
                         close()
         if keys:
             close()
-        columns = [pa.array([d[i] for d in done], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["part", "seq", "file", "rows", "ids"])
+        columns = [pa.array([d[i] for d in done], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4))]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "seq", "file", "rows", "ids", "first_key", "last_key"])
 
     return write
 
@@ -201,7 +226,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str | None = None, keeps_s
     """
     path = path or f"{shared_dir(docs.sparkSession)}/ids"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    ordered = rows.repartitionByRange(sized_partitions(docs, TASK_BYTES), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     return stored(ordered.select("doc_id", "text").mapInArrow(_write(path, vocabulary, keeps_space, end_id), MANIFEST))
 
 

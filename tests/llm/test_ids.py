@@ -101,10 +101,18 @@ def test_id_store_of_awkward_rows(spark, awkward, no_docs):
     assert idstore.read_ids(idstore.write_ids(no_docs, BYTE)).count() == 0
 
 
-def test_keyed_access(spark, awkward):
-    found = [ids for r in idstore.write_ids(awkward, BYTE).collect() for ids in idstore.Shard(r["file"]).get(5)]
-    assert len(found) == 3
-    assert all(not idstore.Shard(r["file"]).get(123456) for r in idstore.write_ids(awkward, BYTE).collect())
+def test_keyed_access(spark, awkward, monkeypatch):
+    monkeypatch.setattr(idstore, "OPEN_SHARDS", 2)
+    manifest = idstore.write_ids(awkward, BYTE)
+    store = idstore.Store(manifest)
+    want = defaultdict(list)
+    for r, ids in zip(awkward.collect(), whole_ids(BYTE, [r["text"] or "" for r in awkward.collect()], 2), strict=True):
+        want[r["doc_id"]].append(ids.tolist())
+    for key in {*want} - {None}:
+        assert sorted(x.tolist() for x in store.get(key)) == sorted(want[key])
+    assert store.get(123456) == [] and store.get(-123456) == []
+    assert len(store.open) <= 2
+    assert all(r["first_key"] <= r["last_key"] for r in manifest.where("first_key IS NOT NULL").collect())
 
 
 @settings(max_examples=60, deadline=None)
