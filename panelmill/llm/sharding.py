@@ -13,11 +13,10 @@ each; an empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +32,27 @@ def shard_of(key: str, shards: int, seed: int) -> Column:
     return F.array_max(scored)["shard"]
 
 
-def _fisher_yates(seed: int) -> Callable[[tuple, pa.Table], pa.Table]:
-    def shuffle(key: tuple, bucket: pa.Table) -> pa.Table:
-        # The fetch order of a shuffle varies between attempts: first a fixed order, then the seeded one.
-        fixed = pc.sort_indices(bucket, sort_keys=[("doc_id", "ascending"), ("origin", "ascending")]).to_numpy()
-        order = np.random.default_rng([seed, key[0].as_py(), key[1].as_py()]).permutation(len(fixed))
-        out = bucket.take(pa.array(fixed[order])).select(["doc_id", "text", "shard", "bucket"])
-        return out.append_column("place", pa.array(np.arange(len(order), dtype=np.int64)))
+def _fisher_yates(seed: int, shard: int, bucket: int, rows: pa.Table) -> pa.Table:
+    """One bucket, which arrives in a fixed order whatever the attempt, in its seeded order."""
+    order = np.random.default_rng([seed, shard, bucket]).permutation(rows.num_rows)
+    out = rows.take(pa.array(order)).select(["doc_id", "text", "shard", "bucket"])
+    return out.append_column("place", pa.array(np.arange(len(order), dtype=np.int64)))
+
+
+def _shuffled(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            number = batch.column("shard").to_numpy().astype(np.int64) << 32 | batch.column("bucket").to_numpy()
+            edges = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)] if len(number) else []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if last is not None and number[a] != last:
+                    yield from _fisher_yates(seed, last >> 32, last & 0xFFFFFFFF, pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = int(number[a])
+        if held:
+            yield from _fisher_yates(seed, last >> 32, last & 0xFFFFFFFF, pa.Table.from_batches(held)).to_batches()
 
     return shuffle
 
@@ -57,9 +70,12 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 20240
     count = F.element_at(F.array(*[F.lit(buckets.get(s, 1)) for s in range(shards)]), F.col("shard") + 1)
     rows = rows.withColumn("origin", F.monotonically_increasing_id())
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "origin"), count.cast("long")).cast("int"))
-    dealt = rows.repartition(max(partitions(spark), min(sum(buckets.values()), 20_000)), "shard", "bucket")
-    shuffled = dealt.groupBy("shard", "bucket").applyInArrow(_fisher_yates(seed), SHARDED)
-    ordered = shuffled.sortWithinPartitions("shard", "bucket", "place")
+    # Buckets are numbered through all shards and dealt to tasks in turn, so no two tasks differ by more than one bucket.
+    first = F.element_at(F.array(*[F.lit(sum(buckets.get(t, 1) for t in range(s))) for s in range(shards)]), F.col("shard") + 1)
+    total = sum(buckets.get(s, 1) for s in range(shards))
+    tasks = max(partitions(spark), min(total, 20_000))
+    dealt = rows.repartitionById(tasks, F.pmod(first + F.col("bucket"), F.lit(tasks)).cast("int"))
+    ordered = dealt.sortWithinPartitions("shard", "bucket", "doc_id", "origin").mapInArrow(_shuffled(seed), SHARDED)
     ordered.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return spark.read.schema(SHARDED).parquet(path)
 
