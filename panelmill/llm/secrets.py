@@ -4,7 +4,8 @@ Base kinds are regular expressions. The novelty kind looks at strings of 16 or m
 that stand behind a sensitive word (credential, bearer, private, ...). It measures the candidate's
 marginal compressed bytes: the size of the surrounding text with it, less the size without it, under
 a zstandard dictionary of code and identifiers. Readable identifiers compress well against
-dictionary and context; strings that need nearly all of their entropy are reported.
+dictionary and context; strings that need nearly all of their entropy are reported. Between the sensitive word and
+the string may stand up to 16 letters of an identifier, quotes, and a colon or equals sign with up to three blanks.
 
 Defined results: a null text is empty and has no spans; positions count code points, ends are
 exclusive; repeated rows are scanned each by itself; other columns are ignored.
@@ -14,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -87,10 +90,12 @@ def novel(text: str, begin: int, end: int, novelty: Novelty) -> bool:
 
 def novel_spans(text: str, novelty: Novelty, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Incompressible strings in sensitive context that no base span covers."""
-    found = []
+    found, known = [], sorted(known)
+    begins, reach = [b for b, _, _ in known], list(accumulate((e for _, e, _ in known), max))
     for m in SENSITIVE.finditer(text):
         begin, end = m.span(1)
-        if not any(b <= begin and end <= e for b, e, _ in known) and novel(text, begin, end, novelty):
+        before = bisect_right(begins, begin)
+        if not (before and reach[before - 1] >= end) and novel(text, begin, end, novelty):
             found.append((begin, end, "novel"))
     return found
 
