@@ -5,8 +5,10 @@ as a vector (shares of byte classes, repetition, hashed byte trigrams), mapped t
 weighted by gated attention; a logistic layer scores the weighted sum. Only document labels are
 needed: the attention weights are learned from them, which is what multiple-instance learning means.
 
-Fitting takes a bounded sample of labelled rows (max_rows, the first by a seeded hash of the key);
-encoding runs on Spark, the small gradient descent on the sample's vectors runs on the driver.
+Fitting takes a bounded sample of labelled rows (max_rows documents, the first by a seeded hash of the key, however
+often a key occurs) and of each at most FIT_PASSAGES passages at even distances, so at most
+max_rows * FIT_PASSAGES * WIDTH * 2 bytes come to the driver (156 MB). Encoding runs on Spark, the small
+gradient descent on the sample's vectors runs on the driver.
 Scoring covers every document and every passage.
 
 Defined results: a null text is empty and an empty text is one empty passage, so it has a score;
@@ -30,6 +32,7 @@ from panelmill.llm.common import text_or_empty
 
 PASSAGE_BYTES = 384
 TRIGRAM_BINS = 64
+FIT_PASSAGES = 256
 THRESHOLD = 0.3
 _CLASSES = 8
 WIDTH = _CLASSES + 4 + TRIGRAM_BINS
@@ -182,8 +185,9 @@ def _encode_bags(batches):
         for at in range(0, len(texts), 64):
             x, counts = encode_passages(texts[at : at + 64])
             edges = np.concatenate(([0], np.cumsum(counts)))
-            packed = [x[a:b].astype(np.float16).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column("label").slice(at, len(packed))], ["bag", "label"])
+            bags = [x[a + np.unique(np.linspace(0, b - a - 1, min(b - a, FIT_PASSAGES)).astype(np.int64))] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            packed = pa.array([bag.astype(np.float16).tobytes() for bag in bags], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(bags)) for k in ("doc_id", "label")), packed], ["doc_id", "label", "bag"])
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, max_rows: int = 4000, seed: int = 7) -> Model | None:
@@ -197,8 +201,10 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, max
     chosen = rows.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "label").limit(max_rows)
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     # The chosen keys are bounded by max_rows, so they are broadcast and the texts stay where they are.
-    pairs = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    found = pairs.repartition(16).select("text", "label").mapInArrow(_encode_bags, "bag binary, label double").collect()
+    pairs = texts.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
+    bags = pairs.repartition(16).mapInArrow(_encode_bags, "doc_id long, label double, bag binary")
+    # A key may stand for many rows, so the bound is set once more where the bags are made.
+    found = bags.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "label", "bag").limit(max_rows).collect()
     if not found:
         return None
     found.sort(key=lambda r: (r["label"], bytes(r["bag"])))
