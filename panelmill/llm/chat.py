@@ -1,7 +1,7 @@
 """Chat formatting by columnar byte assembly.
 
 A conversation becomes one text. Each turn is ``<|turn|>role\\ntext<|end|>\\n``. Inside roles and
-texts ``\\`` is written ``\\\\`` and ``<|`` is written ``<\\|``, so a template marker can only come from
+texts ``\\`` is written ``\\\\`` and ``<|`` is written ``<\\|``, in roles a new line is ``\\n``, so a template marker can only come from
 the template and the original text can be read back. The loss mask covers the assistant's texts.
 
 The bytes are laid out by numpy: the lengths of all segments give cumulative offsets, and every
@@ -36,10 +36,19 @@ def escape(column: pa.Array) -> pa.Array:
     return pc.replace_substring(pc.replace_substring(column, "\\", "\\\\"), "<|", "<\\|")
 
 
+def escape_role(column: pa.Array) -> pa.Array:
+    """A role ends at the first new line, so its own ones are written out."""
+    return pc.replace_substring(escape(column), "\n", "\\n")
+
+
 def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S) if "\\" in text else text
 
 
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role, flags=re.S) if "\\" in role else role
+
+
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The offsets, counted from 0, and the bytes of a string column without nulls."""
     column = column.cast(pa.large_string())
@@ -50,7 +59,7 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def assemble(role: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of all turns, where each turn begins (with the end), and where its text begins and ends."""
-    (role_at, role_bytes), (text_at, text_bytes) = _bytes_of(escape(role)), _bytes_of(escape(text))
+    (role_at, role_bytes), (text_at, text_bytes) = _bytes_of(escape_role(role)), _bytes_of(escape(text))
     turns, role_len, text_len = len(role), np.diff(role_at), np.diff(text_at)
     turn_at = np.concatenate(([0], np.cumsum(role_len + text_len + len(OPEN) + len(BREAK) + len(CLOSE))))
     buffer = np.empty(turn_at[-1], dtype=np.uint8)
@@ -116,7 +125,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     The loss spans are byte positions in the UTF-8 form of ``formatted``. Turns are shuffled by
     conversation and stream through the task in order, so a task holds one batch and the
-    conversation that is being written, never a whole partition.
+    conversation that is being written, never a whole partition. One conversation has to fit in a task's memory.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), text_or_empty().alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
@@ -128,7 +137,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     turns = []
     for part in formatted.split("<|turn|>")[1:]:
         role, _, rest = part.partition("\n")
-        turns.append((unescape(role), unescape(rest[: -len("<|end|>\n")])))
+        turns.append((unescape_role(role), unescape(rest[: -len("<|end|>\n")])))
     return turns
 
 

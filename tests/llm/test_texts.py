@@ -52,6 +52,39 @@ def test_gradients_equal_differences():
             assert grad[at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
 
 
+def test_scores_equal_a_plain_forward_pass(spark):
+    rng = np.random.default_rng(3)
+    texts = ["", "a", "Some words, and more. " * 60, "x" * 384, "y" * 385, "1 2 3 " * 200]
+    m = quality.fit([quality.encode_passages([t.encode()])[0] for t in texts], np.array([1.0, 0, 1, 0, 1, 0]), rounds=3)
+    m.c[:] = rng.normal(size=len(m.c))
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for text in texts:
+        raw = text.encode()
+        vectors, _ = quality.encode_passages([raw])
+        assert len(vectors) == max(1, math.ceil(len(raw) / quality.PASSAGE_BYTES))
+        hidden, weights = [], []
+        for x in vectors.astype(float):
+            h = [math.tanh(sum((x[i] - m.mean[i]) * m.scale[i] * m.w[i, j] for i in range(len(x))) + m.b[j]) for j in range(m.w.shape[1])]
+            gate = [math.tanh(sum(h[i] * m.v[i, j] for i in range(len(h)))) * sigmoid(sum(h[i] * m.u[i, j] for i in range(len(h)))) for j in range(m.v.shape[1])]
+            hidden.append(h)
+            weights.append(math.exp(sum(g * a for g, a in zip(gate, m.a, strict=True))))
+        bag = [sum(w * h[j] for w, h in zip(weights, hidden, strict=True)) / sum(weights) for j in range(m.w.shape[1])]
+        assert m.scores(vectors, np.array([len(vectors)]))[0] == pytest.approx(sigmoid(sum(z * c for z, c in zip(bag, m.c, strict=True)) + m.d[0]), rel=1e-6)
+    got = {r["text"]: r["s"] for r in spark.createDataFrame([(t,) for t in texts], "text string").withColumn("s", quality.score(m)).collect()}
+    for t in texts:
+        x, counts = quality.encode_passages([t.encode()])
+        assert got[t] == pytest.approx(m.scores(x, counts)[0], abs=1e-6)
+
+
+def test_fitting_takes_bounded_rows_and_passages(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda bags, labels, seed: taken.append((bags, labels)))
+    docs = spark.range(3000).selectExpr("id % 3 AS doc_id", "concat('text ', id) AS text").unionByName(spark.createDataFrame([(7, "word " * 60_000)], "doc_id long, text string"))
+    quality.train(docs, spark.createDataFrame([(0, 1), (1, 0), (7, 1)], "doc_id long, quality int"), max_rows=50)
+    quality.train(docs.where("doc_id = 7"), spark.createDataFrame([(7, 1)], "doc_id long, quality int"), max_rows=50)
+    assert len(taken[0][0]) == 50 and len(taken[1][0]) == 1 and len(taken[1][0][0]) == quality.FIT_PASSAGES
+
+
 def test_quality_of_awkward_rows(spark, awkward, no_docs):
     labels = spark.createDataFrame([(1, 1), (4, 0), (5, 0), (None, 1), (2, None)], "doc_id long, quality int")
     model = quality.train(awkward, labels)
@@ -67,14 +100,13 @@ def test_quality_of_awkward_rows(spark, awkward, no_docs):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "", "<|x\\"]), st.text(st.sampled_from("a\\<|>é\n🙂 turnend"), max_size=20)), min_size=1, max_size=6))
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "", "<|x\\", "a\nb\\n"]), st.text(st.sampled_from("a\\<|>é\n🙂 turnend"), max_size=20)), min_size=1, max_size=6))
 def test_chat_round_trip(turns):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array([1] * len(turns), pa.int64()), pa.array([r for r, _ in turns]), pa.array([t for _, t in turns])], ["conv_id", "role", "text"])
     (out,) = [r for b in chat._format(iter([batch])) for r in b.to_pylist()]
-    roles_without_breaks = all("\n" not in r for r, _ in turns)
-    assert not roles_without_breaks or chat.parse(out["formatted"]) == turns
+    assert chat.parse(out["formatted"]) == turns
     raw = out["formatted"].encode()
     assert [chat.unescape(raw[a:b].decode()) for a, b in zip(out["loss_begin"], out["loss_end"], strict=True)] == [t for r, t in turns if r == "assistant"]
 
@@ -106,6 +138,13 @@ def test_conversation_over_many_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_roles_with_control_strings_come_back(spark):
+    turns = [("us\ner", "hi\nthere"), ("a\\n", "b\\n"), ("<|turn|>\n\\", "<|end|>\n"), ("", "")]
+    rows = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    (got,) = chat.format_conversations(rows).collect()
+    assert chat.parse(got["formatted"]) == turns
+
+
 # --- secrets ------------------------------------------------------------------------------------------
 
 PLAIN = {
