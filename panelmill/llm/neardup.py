@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from panelmill.llm.common import stored
+from panelmill.llm.common import release_shuffles, stored
 from panelmill.llm.components import connected
 from panelmill.llm.words import U64, hashed_words, mix, shingles, string_parts
 
@@ -184,10 +184,14 @@ def _verify(batches):
         yield batch.select(["a", "b"]).filter(ok)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The links (a, b) among candidate pairs; nodes: key, words."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = stored(nodes.select("key", "words").join(wanted, "key", "left_semi"))
+def _of(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows with a key among those given, by a merge join whatever the sizes, so that plans at all sizes are alike."""
+    return rows.join(keys.select("key").distinct().hint("merge"), "key", "left_semi")
+
+
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The links (a, b) among candidate pairs; rows: key, words."""
+    texts = stored(_of(rows.select("key", "words"), pairs.select(F.explode(F.array("a", "b")).alias("key"))))
     left, right = (texts.select(F.col("key").alias(k), F.col("words").alias(f"words_{k}")) for k in "ab")
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b").mapInArrow(_verify, "a long, b long"))
 
@@ -196,21 +200,21 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def near_classes(nodes: DataFrame) -> DataFrame:
-    """(key, root) for texts that have near duplicates; nodes: key (a number), words, sketches."""
-    buckets = nodes.select("key", F.explode("sketches").alias("bucket"))
+def near_classes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, root) for texts that have near duplicates; rows: key (the row's number), words, sketches; nodes: the keys of one row a text."""
+    buckets = _of(rows.select("key", "sketches"), nodes).select("key", F.explode("sketches").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = stored(buckets.join(sizes, "bucket"))
     common = shared.groupBy("key").agg(F.sum("members").alias("common"))
     leader = shared.join(common, "key").groupBy("bucket").agg(F.max(F.struct("common", "key"))["key"].alias("leader"))
     led = shared.join(leader, "bucket").where(F.col("key") != F.col("leader")).select(*_ordered("key", "leader")).distinct()
-    links = verified(stored(led), nodes)
-    roots = connected(links)
-    more = open_links(shared, roots, nodes)
+    links = verified(stored(led), rows)
+    release_shuffles(rows.sparkSession)
+    more = open_links(shared, connected(links), rows)
     return connected(links.unionByName(more)).withColumnRenamed("node", "key")
 
 
-def open_links(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+def open_links(shared: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that the leaders left out: in each bucket that still spans components, the nodes outside
     its largest component are compared with all of its nodes, in blocks.
 
@@ -222,8 +226,7 @@ def open_links(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFra
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     whole = whole.select("bucket", F.col("top.root").alias("largest"), blocks(F.col("members")).alias("member_blocks"), blocks(F.col("members") - F.col("top.n")).alias("probe_blocks"))
     rows = stored(placed.join(whole, "bucket"))
-    texts = nodes.select("key", "words").join(rows.select("key").distinct(), "key", "left_semi")
-    rows = rows.join(texts, "key")
+    rows = rows.join(_of(texts.select("key", "words"), rows).hint("merge"), "key")
     own = lambda n: F.pmod(F.xxhash64(F.lit(2), "key"), n.cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     members = rows.select("bucket", every(F.col("probe_blocks")).alias("p"), own(F.col("member_blocks")).alias("m"), F.lit(False).alias("probe"), "key", "root", "words")
@@ -284,8 +287,9 @@ def classed(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     doc = F.col("row.doc_id").cast("long")
     order = F.struct(doc.isNull().alias("n"), doc.alias("d"), F.col("origin").alias("o"))
     texts = stored(table.groupBy(F.col("omh.key").alias("key")).agg(F.min("origin").alias("node"), F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")))
-    nodes = table.select("origin", "omh.words", "omh.sketches").join(texts.select(F.col("node").alias("origin")), "origin").withColumnRenamed("origin", "key")
-    roots = near_classes(nodes).select(F.col("key").alias("node"), "root")
+    rows = table.select(F.col("origin").alias("key"), "omh.words", "omh.sketches")
+    roots = near_classes(rows, texts.select(F.col("node").alias("key"))).select(F.col("key").alias("node"), "root")
+    release_shuffles(docs.sparkSession)
     return table, texts.join(roots, "node", "left").select("key", "first", "copies", F.coalesce("root", "node").alias("root"))
 
 
@@ -304,4 +308,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs, with one row of each class of near duplicates (the least doc_id, then the first row)."""
     table, texts = classed(docs)
     first = stored(texts.groupBy("root").agg(F.min("first")["o"].alias("origin")).select("origin"))
-    return table.select("row", "origin").join(first, "origin", "left_semi").select("row.*")
+    return table.select("row", "origin").join(first.hint("merge"), "origin", "left_semi").select("row.*")
