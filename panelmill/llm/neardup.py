@@ -47,7 +47,7 @@ SKETCHES, LEAST = 24, 3
 #: Up to so many words, candidates are found by shared k-mers alone; partners of such texts have at most SHORT / SIMILARITY.
 SHORT = 24
 #: Nodes of a bucket on either side of one comparison, and numbers in one matrix of it.
-BLOCK, TILE = 1024, 1 << 22
+BLOCK, TILE = 1024, 1 << 20
 SKETCHED = "key binary, kmers int, words binary, sketches array<long>"
 _RNG = np.random.default_rng(5)
 _ODD = _RNG.integers(0, 2**63, SKETCHES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
