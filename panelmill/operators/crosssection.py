@@ -49,16 +49,18 @@ def ic_summary(ic: DataFrame, recent: int = 26) -> DataFrame:
     )
 
 
-def top_quartile_turnover(df: DataFrame, value: str, share: float = 0.25) -> DataFrame:
-    """Half the sum of absolute weight changes of the equal-weight top share, by date (the first date has none)."""
-    rank = F.row_number().over(by_date().orderBy(F.desc(value), "code"))
-    held = df.withColumn("rk", rank).withColumn("k", F.ceil(F.count(F.lit(1)).over(by_date()) * share)).where("rk <= k").select("date", "code", (1 / F.col("k")).alias("w"))
-    number = df.select("date").distinct().withColumn("t", F.row_number().over(Window.orderBy("date")))  # one row a date
-    held = held.join(number, "date").select("code", "w", "t")
+def top_quartile_turnover(df: DataFrame, value: str, share: float = 0.25, by: list[str] | None = None) -> DataFrame:
+    """Half the sum of absolute weight changes of the equal-weight top share, by date (the first date has none); by: columns of separate panels."""
+    by = by or []
+    day = Window.partitionBy(*by, "date")
+    rank = F.row_number().over(day.orderBy(F.desc(value), "code"))
+    held = df.withColumn("rk", rank).withColumn("k", F.ceil(F.count(F.lit(1)).over(day) * share)).where("rk <= k").select(*by, "date", "code", (1 / F.col("k")).alias("w"))
+    number = df.select(*by, "date").distinct().withColumn("t", F.row_number().over(Window.partitionBy(*by).orderBy("date")))  # one row a date
+    held = held.join(number, [*by, "date"]).select(*by, "code", "w", "t")
     # A weight acts at its own date (entering) and, negated, at the next one (leaving); their sum is the change.
-    moved = held.unionByName(held.select("code", (-F.col("w")).alias("w"), (F.col("t") + 1).alias("t")))
-    change = moved.groupBy("t", "code").agg(F.sum("w").alias("d")).groupBy("t").agg((F.sum(F.abs("d")) / 2).alias("turnover"))
-    return number.join(change, "t").where("t > 1").select("date", "turnover")
+    moved = held.unionByName(held.select(*by, "code", (-F.col("w")).alias("w"), (F.col("t") + 1).alias("t")))
+    change = moved.groupBy(*by, "t", "code").agg(F.sum("w").alias("d")).groupBy(*by, "t").agg((F.sum(F.abs("d")) / 2).alias("turnover"))
+    return number.join(change, [*by, "t"]).where("t > 1").select(*by, "date", "turnover")
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p") -> DataFrame:

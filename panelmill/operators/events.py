@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of values that a weighted quantile looks at before single values.
+CELLS = 1024
+
+
 def tumbling_bars(events: DataFrame, every: str = "1 day") -> DataFrame:
     """Open, high, low, close, volume of values by event type and time window."""
     order = F.struct("ts", "event_id")
@@ -30,13 +34,19 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 def weighted_quantile(df: DataFrame, group: str, value: str, weight: str, q: float) -> DataFrame:
     """The least value whose cumulative weight reaches q of the total; no interpolation.
 
-    Weights are summed by value first, so the ordered window has one row a distinct value.
+    Weights are summed over CELLS equal ranges of a group's values first; only the range in which the quantile falls
+    is ordered value by value.
     """
-    by_value = df.groupBy(group, value).agg(F.sum(weight).alias("w"))
-    upto = Window.partitionBy(group).orderBy(value)
-    total = F.sum("w").over(Window.partitionBy(group))
-    reached = by_value.withColumn("ok", F.sum("w").over(upto) >= q * total)
-    return reached.where("ok").groupBy(group).agg(F.min(value).alias("quantile"))
+    ends = df.groupBy(group).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    cell = F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("__low"), F.col("__high") - F.col("__low")), F.lit(0.0)) * (CELLS - 1))
+    placed = df.select(group, value, weight).join(ends, group).withColumn("__cell", cell)
+    upto = Window.partitionBy(group).orderBy("__cell")
+    cells = placed.groupBy(group, "__cell").agg(F.sum(weight).alias("__w"))
+    cells = cells.withColumns({"__upto": F.sum("__w").over(upto), "__all": F.sum("__w").over(Window.partitionBy(group))})
+    cells = cells.where((F.col("__upto") >= q * F.col("__all")) & (F.col("__upto") - F.col("__w") < q * F.col("__all")))
+    near = placed.select(group, value, weight, "__cell").join(cells, [group, "__cell"]).groupBy(group, value).agg(F.sum(weight).alias("__v"), F.first("__upto").alias("__upto"), F.first("__w").alias("__w"), F.first("__all").alias("__all"))
+    reached = F.col("__upto") - F.col("__w") + F.sum("__v").over(Window.partitionBy(group).orderBy(value)) >= q * F.col("__all")
+    return near.withColumn("__ok", reached).where("__ok").groupBy(group).agg(F.min(value).alias("quantile"))
 
 
 def degraded_runs(samples: DataFrame, key: str, order: list, n: int = 3, least_gross: float = 5000.0, ratio: float = 1.25, excess_bps: float = 2.0) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,26 +106,58 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
-def fit_by_group(rows: DataFrame, group: str, features: list[str], label: str) -> DataFrame:
-    """One logistic fit a group (a fold or a parameter set), each in its own task."""
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[features].to_numpy(dtype=float)
-        spread = np.where(x.std(0) < 1e-9, 1.0, x.std(0))
-        w = fit_logistic((x - x.mean(0)) / spread, pdf[label].to_numpy(dtype=float))
-        return pd.DataFrame({group: key[0], "term": ["intercept", *features], "weight": np.round(w, 8)})
-
-    return rows.groupBy(group).applyInPandas(fit, f"{group} {dict(rows.dtypes)[group]}, term string, weight double")
-
-
-def ridge_weights(rows: DataFrame, features: list[str], label: str, half_life: float = 52.0, ridge: float = 2.0) -> DataFrame:
-    """Recency-weighted non-negative ridge: the Gram matrix is one distributed aggregate, its solution is 5x5 driver work."""
+def fit_by_group(rows: DataFrame, group: str, features: list[str], label: str, ridge: float = 1.0, rounds: int = 80, tolerance: float = 1e-7) -> DataFrame:
+    """One logistic fit a group. Each Newton step is one aggregate of all groups' weighted moments; the driver solves one small system a group."""
+    spark, kind = rows.sparkSession, dict(rows.dtypes)[group]
+    facts = rows.groupBy(group).agg(*[f(c).alias(f"{k}_{c}") for c in features for k, f in (("mean", F.avg), ("sd", F.stddev_pop))]).collect()
+    names = ["x0", *[f"x{i + 1}" for i in range(len(features))]]
+    scale = spark.createDataFrame([(r[group], *[float(r[f"{k}_{c}"]) for c in features for k in ("mean", "sd")]) for r in facts], f"{group} {kind}, " + ", ".join(f"{k}_{i} double" for i in range(len(features)) for k in ("mean", "sd")))
+    # One row a group was just collected, so the scale and the weights are as small as that.
+    z = [((F.col(c) - F.col(f"mean_{i}")) / F.when(F.col(f"sd_{i}") < 1e-9, 1.0).otherwise(F.col(f"sd_{i}"))).alias(f"x{i + 1}") for i, c in enumerate(features)]
+    data = rows.join(F.broadcast(scale), group).select(group, F.lit(1.0).alias("x0"), *z, F.col(label).cast("double").alias("y")).persist()
+    weights = {r[group]: np.zeros(len(names)) for r in facts}
+    open_, penalty = set(weights), np.array([0.0, *[ridge] * len(features)])
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    for _ in range(rounds):
+        if not open_:
+            break
+        now = spark.createDataFrame([(g, *map(float, weights[g])) for g in open_], f"{group} {kind}, " + ", ".join(f"w{i} double" for i in range(len(names))))
+        score = sum((F.col(f"w{i}") * F.col(x) for i, x in enumerate(names)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), score))))
+        step = data.join(F.broadcast(now), group).withColumn("p", p).withColumn("h", F.greatest(F.col("p") * (1 - F.col("p")), F.lit(1e-6)))
+        sums = step.groupBy(group).agg(*[F.sum(F.col("h") * F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs], *[F.sum(F.col(x) * (F.col("y") - F.col("p"))).alias(x) for x in names])
+        for r in sums.collect():
+            gram = np.array([[r[f"{min(a, b, key=names.index)}_{max(a, b, key=names.index)}"] for b in names] for a in names])
+            move = np.linalg.solve(gram + np.diag(penalty), np.array([r[x] for x in names]) - penalty * weights[r[group]])
+            weights[r[group]] = weights[r[group]] + move
+            if np.abs(move).max() < tolerance:
+                open_.discard(r[group])
+    data.unpersist()
+    out = [(g, term, float(np.round(v, 6))) for g, w in sorted(weights.items()) for term, v in zip(["intercept", *features], w, strict=True)]
+    return spark.createDataFrame(out, f"{group} {kind}, term string, weight double")
+
+
+def ridge_weights(rows: DataFrame, features: list[str], label: str, half_life: float = 52.0, ridge: float = 2.0, most: float = 0.15) -> DataFrame:
+    """Recency-weighted non-negative ridge on standardised features: (term, weight), the intercept first.
+
+    Weights halve every half_life dates and have mean 1; the label is cut at +-most, null counts as 0; the
+    intercept is not penalised. Negative coefficients become 0; if none is left, all are equal. The moments
+    are one distributed aggregate, the system of a few terms is solved on the driver.
+    """
     dates = rows.select("date").distinct().withColumn("age", F.row_number().over(Window.orderBy(F.desc("date"))) - 1)  # one row a date
-    weighted = rows.join(dates, "date").withColumn("w", F.pow(F.lit(0.5), F.col("age") / half_life))
-    names = [*features, label]
-    sums = [F.sum(F.col("w") * F.col(a) * F.col(b)).alias(f"{a}__{b}") for i, a in enumerate(names) for b in names[i:]]
-    got = weighted.agg(F.sum("w").alias("w"), *sums).first()
-    gram = np.array([[got[f"{min(a, b, key=names.index)}__{max(a, b, key=names.index)}"] or 0.0 for b in names] for a in names]) / max(got["w"] or 1.0, 1e-12)
-    solved = np.maximum(np.linalg.solve(gram[:-1, :-1] + ridge * np.eye(len(features)) * 1e-2, gram[:-1, -1]), 0.0)
-    total = solved.sum() or 1.0
-    return rows.sparkSession.createDataFrame([(f, float(np.round(s / total, 8))) for f, s in zip(features, solved, strict=True)], "factor string, weight double")
+    facts = rows.agg(*[f(c).alias(f"{k}_{c}") for c in features for k, f in (("mean", F.avg), ("sd", F.stddev_pop))]).first()
+    if facts[f"mean_{features[0]}"] is None:
+        return rows.sparkSession.createDataFrame([], "term string, weight double")
+    z = {c: F.coalesce((F.col(c) - facts[f"mean_{c}"]) / (facts[f"sd_{c}"] if facts[f"sd_{c}"] >= 1e-8 else 1.0), F.lit(0.0)) for c in features}
+    cut = F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce(F.col(label), F.lit(0.0))))
+    weighted = rows.join(dates, "date").select(F.pow(F.lit(0.5), F.col("age") / half_life).alias("w"), F.lit(1.0).alias("x0"), *[v.alias(f"x{i + 1}") for i, v in enumerate(z.values())], cut.alias("y"))
+    names = ["x0", *[f"x{i + 1}" for i in range(len(features))], "y"]
+    got = weighted.agg(F.avg("w").alias("mean_w"), *[F.sum(F.col("w") * F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i:]]).first()
+    moment = np.array([[got[f"{min(a, b, key=names.index)}_{max(a, b, key=names.index)}"] for b in names] for a in names]) / max(got["mean_w"], 1e-8)
+    penalty = np.diag([0.0, *[ridge] * len(features)])
+    solved = np.maximum(np.linalg.solve(moment[:-1, :-1] + penalty, moment[:-1, -1])[1:], 0.0)
+    if not (solved > 1e-10).any():
+        solved = np.full(len(features), 1 / len(features))
+    intercept = (moment[0, -1] - moment[0, 1:-1] @ solved) / moment[0, 0]
+    out = [("intercept", intercept), *zip(features, solved, strict=True)]
+    return rows.sparkSession.createDataFrame([(t, float(np.round(v, 8))) for t, v in out], "term string, weight double")

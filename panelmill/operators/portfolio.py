@@ -61,3 +61,37 @@ def rolling_stability(returns: DataFrame, n: int = 52) -> DataFrame:
         F.round(F.percentile("e", 0.5), 6).alias("middle"),
         F.round(F.max("dd"), 6).alias("worst_drawdown"),
     )
+
+
+#: Gates of acceptance and the conditions under which each fails.
+GATES = [
+    ("RETURN_NOT_POSITIVE", "total_return <= 0"),
+    ("EXCESS_NOT_POSITIVE", "excess_return <= 0"),
+    ("INFORMATION_RATIO_BELOW_0_3", "information_ratio < 0.3"),
+    ("SHARPE_BELOW_0_5", "sharpe < 0.5"),
+    ("DRAWDOWN_ABOVE_BENCHMARK", "max_drawdown > benchmark_drawdown"),
+    ("FEWER_THAN_HALF_OF_YEARS_POSITIVE", "positive_years < 0.5"),
+    ("FEWER_THAN_52_PERIODS", "periods < 52"),
+]
+
+
+def summary(returns: DataFrame) -> DataFrame:
+    """One row a code from its weekly path (code, date, r, rb): returns, ratios, drawdowns, share of years ahead of the benchmark."""
+    w = Window.partitionBy("code").orderBy("date")
+    rows = returns.withColumns({"nav": F.exp(F.sum(F.ln(1 + F.col("r"))).over(w)), "bnav": F.exp(F.sum(F.ln(1 + F.col("rb"))).over(w))})
+    fall = lambda nav: 1 - F.col(nav) / F.greatest(F.lit(1.0), F.max(nav).over(w))
+    rows = rows.withColumns({"dd": fall("nav"), "bdd": fall("bnav"), "active": F.col("r") - F.col("rb")})
+    ratio = lambda c: F.avg(c) / F.greatest(F.stddev_samp(c), F.lit(1e-8)) * F.sqrt(F.lit(52.0))
+    whole = rows.groupBy("code").agg(
+        F.count(F.lit(1)).alias("periods"),
+        (F.max_by("nav", "date") - 1).alias("total"),
+        (F.max_by("bnav", "date") - 1).alias("btotal"),
+        F.greatest(F.datediff(F.max("date"), F.min("date")) / 365.25, F.lit(1 / 52)).alias("years"),
+        ratio("active").alias("ir"),
+        ratio("r").alias("sharpe"),
+        F.max("dd").alias("dd"),
+        F.max("bdd").alias("bdd"),
+    )
+    years = rows.groupBy("code", F.year("date").alias("y")).agg(F.round(F.product(1 + F.col("r")) - F.product(1 + F.col("rb")), 9).alias("e")).groupBy("code").agg(F.avg((F.col("e") > 0).cast("double")).alias("py"))
+    six = lambda c, name: F.round(c, 6).alias(name)
+    return whole.join(years, "code").select("code", "periods", six(F.col("total"), "total_return"), six(F.pow(1 + F.col("total"), 1 / F.col("years")) - 1, "cagr"), six(F.col("btotal"), "benchmark_return"), six(F.col("total") - F.col("btotal"), "excess_return"), F.round("ir", 5).alias("information_ratio"), F.round("sharpe", 5).alias("sharpe"), six(F.col("dd"), "max_drawdown"), six(F.col("bdd"), "benchmark_drawdown"), six(F.col("py"), "positive_years"))

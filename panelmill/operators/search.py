@@ -55,7 +55,7 @@ def offspring(rng: random.Random, elite: list[X.Tree], features: list[str]) -> X
     return (rng.choice(BINARY), a, rng.choice(features)) if draw < 0.45 else (rng.choice(UNARY), a) if draw < 0.85 else random_tree(rng, features)
 
 
-def evolve(rows: DataFrame, features: list[str], population: int = 16, generations: int = 3, seed: int = 42) -> list[dict]:
+def evolve(rows: DataFrame, features: list[str], population: int = 32, generations: int = 5, seed: int = 42) -> list[dict]:
     """Candidates, fittest first: expression, fitness, generation and the summary. Each generation is one job.
 
     A candidate with a negative mean is negated; the rank correlation of the negated column is the negative one, so it

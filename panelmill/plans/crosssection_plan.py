@@ -12,6 +12,7 @@ from panelmill.operators import crosssection as S
 from panelmill.operators import policy as P
 from panelmill.operators import rotation as R
 from panelmill.operators.calendar import period_of
+from panelmill.operators.factors import two_sided_normal
 from panelmill.plans.indicators_plan import PRIM, PRIMITIVES, primitives
 from panelmill.plans.sql import BARS, BENCH, with_
 from panelmill.sources import bars as B
@@ -88,18 +89,15 @@ def ic_summary(spark, sf_dir):
     return S.ic_summary(_ics(spark, sf_dir))
 
 
-def _tail(t):
-    """A rational-exponent form of the two-sided normal tail, alike in both engines."""
-    return F.least(F.lit(1.0), F.exp(-0.717 * F.abs(t) - 0.416 * t * t))
-
-
 def bh_adjust(spark, sf_dir):
-    rows = S.ic_summary(_ics(spark, sf_dir)).select("factor", F.round(_tail(F.coalesce("ic_t", F.lit(0.0))), 9).alias("p"))
+    rows = S.ic_summary(_ics(spark, sf_dir)).select("factor", F.round(two_sided_normal(F.coalesce("ic_t", F.lit(0.0))), 6).alias("p"))
     return S.benjamini_hochberg(rows).select("factor", "p", F.round("q", 6).alias("q"))
 
 
-BH_SQL = with_(*BASE, IC, SUMMARY) + """SELECT factor, p, round(least(1, min(raw) OVER (ORDER BY rk DESC)), 6) AS q FROM (SELECT factor, p, rk, p * count(*) OVER () / rk AS raw FROM (
-  SELECT factor, p, row_number() OVER (ORDER BY p, factor) AS rk FROM (SELECT factor, round(least(1, exp(-0.717 * abs(coalesce(ic_t, 0)) - 0.416 * coalesce(ic_t, 0) * coalesce(ic_t, 0))), 9) AS p FROM su)))"""
+#: The error function of x by its series; the query takes it from Python's library.
+ERF = "CASE WHEN x > 6 THEN 1 ELSE 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 300), lambda n: exp(n * ln(2) + (2 * n + 1) * ln(greatest(x, 1e-300)) - (lgamma(n + 1.5) + (n + 1) * ln(2) - 0.5 * ln(pi()))))) END"
+BH_SQL = with_(*BASE, IC, SUMMARY) + f"""SELECT factor, p, round(least(1, min(raw) OVER (ORDER BY rk DESC)), 6) AS q FROM (SELECT factor, p, rk, p * count(*) OVER () / rk AS raw FROM (
+  SELECT factor, p, row_number() OVER (ORDER BY p, factor) AS rk FROM (SELECT factor, round(1 - ({ERF}), 6) AS p FROM (SELECT factor, abs(coalesce(ic_t, 0)) / sqrt(2) AS x FROM su))))"""
 
 
 def factor_turnover(spark, sf_dir):
@@ -162,8 +160,11 @@ def market_policy(spark, sf_dir):
     rets = bench.select("date", *[F.coalesce(F.round(F.col("bench") / F.lag("bench", k).over(w) - 1, 9), F.lit(0.0)).alias(f"ret_{k}") for k in (1, 3, 5, 10)])
     rets = rets.withColumn("week", period_of("week")).groupBy("week").agg(*[F.max_by(f"ret_{k}", "date").alias(f"ret_{k}") for k in (1, 3, 5, 10)]).withColumnRenamed("week", "date")
     breadth = weekly.groupBy("date").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("weekly_score") >= 0.25).alias("bull"), F.count_if(F.col("weekly_score") <= -0.25).alias("bear"), F.round(F.avg("weekly_score"), 9).alias("trend"), F.round(F.avg("volatility_20"), 9).alias("vol"))
-    stress = F.round(W.percentile_rank("vol", "one") * 100, 6)
-    rows = breadth.join(rets, "date").withColumn("one", F.lit(1)).withColumn("stress", stress)
+    # The rank of a week's volatility among the last 120 weeks, later ones excluded. One row a week.
+    past = F.collect_list("vol").over(Window.orderBy("date").rowsBetween(-119, 0))
+    rows = breadth.join(rets, "date").withColumn("past", past)
+    below, equal = F.size(F.filter("past", lambda x: x < F.col("vol"))), F.size(F.filter("past", lambda x: x == F.col("vol")))
+    rows = rows.withColumn("stress", F.round((below + (equal + 1) / 2) / F.size("past") * 100, 6)).drop("past")
     return P.market_policy(rows).select("date", "bull", "bear", "total", "raw_score", "pulse", "score", "state", "permission", "exposure")
 
 
@@ -172,7 +173,8 @@ def market_policy_sql():
     last = ", ".join(f"arg_max(ret_{k}, date) AS ret_{k}" for k in (1, 3, 5, 10))
     return with_(*BASE, BENCH) + f""", rt AS (SELECT date_trunc('week', date)::DATE AS date, {last} FROM (SELECT date, {ret} FROM bm) GROUP BY 1),
 br AS (SELECT date, count(*) AS total, count(*) FILTER (trend_efficiency_20 >= 0.25) AS bull, count(*) FILTER (trend_efficiency_20 <= -0.25) AS bear, round(avg(trend_efficiency_20), 9) AS trend, round(avg(volatility_20), 9) AS vol FROM pan GROUP BY date),
-st AS (SELECT *, round((rank() OVER (ORDER BY vol) + (count(*) OVER (PARTITION BY vol) - 1) / 2.0::DOUBLE) / count(*) OVER () * 100, 6) AS stress FROM br JOIN rt USING (date)),
+st AS (SELECT * EXCLUDE (past), round((len(list_filter(past, lambda x: x < vol)) + (len(list_filter(past, lambda x: x = vol)) + 1) / 2.0::DOUBLE) / len(past) * 100, 6) AS stress FROM (
+  SELECT *, list(vol) OVER (ORDER BY date ROWS BETWEEN 119 PRECEDING AND CURRENT ROW) AS past FROM br JOIN rt USING (date))),
 """.replace("\n, rt AS", ", rt AS") + P.policy_sql("st") + "SELECT date, bull, bear, total, raw_score, pulse, score, state, permission, exposure FROM policy"
 
 

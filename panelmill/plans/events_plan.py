@@ -134,12 +134,18 @@ FROM (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-
 def identity_hashes(spark, sf_dir):
     """SHA-256 of a canonical text of each nation's customers: compact, sorted, fixed number format."""
     rows = B.table(spark, sf_dir, "customer").select("c_nationkey", F.concat_ws(":", F.col("c_custkey").cast("string"), F.format_string("%.2f", "c_acctbal")).alias("t"), "c_custkey")
-    # A digest of a whole nation needs its whole text; each customer's digest is taken first, so a nation gathers 64 characters a customer.
-    rows = rows.withColumn("d", F.sha2("t", 256))
-    return rows.groupBy("c_nationkey").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "d"))), lambda x: x["d"]), ","), 256).alias("identity"))
-
-
-HASH_SQL = "SELECT c_nationkey, sha256(string_agg(sha256(c_custkey || ':' || printf('%.2f', c_acctbal)), ',' ORDER BY c_custkey)) AS identity FROM customer GROUP BY 1"
+    # A tree of digests: customers, ranges of RANGE keys, the ranges' ranges, nations. No row ever gathers more than RANGE digests
+    # (a nation: as many as its keys reach over RANGE squared).
+    rows = rows.select("c_nationkey", F.col("c_custkey").cast("bigint").alias("k"), F.sha2("t", 256).alias("d"))
+    joined = lambda: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), ","), 256)
+    for _ in range(2):
+        rows = rows.groupBy("c_nationkey", F.floor(F.col("k") / RANGE).alias("r")).agg(joined().alias("d")).withColumnRenamed("r", "k")
+    return rows.groupBy("c_nationkey").agg(joined().alias("identity"))
+
+
+RANGE = 1000
+HASH_SQL = f"""SELECT c_nationkey, sha256(string_agg(d, ',' ORDER BY k)) AS identity FROM (SELECT c_nationkey, k // {RANGE} AS k, sha256(string_agg(d, ',' ORDER BY k)) AS d FROM (
+  SELECT c_nationkey, c_custkey // {RANGE} AS k, sha256(string_agg(sha256(c_custkey || ':' || printf('%.2f', c_acctbal)), ',' ORDER BY c_custkey)) AS d FROM customer GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1"""
 
 QUERIES = {f.__name__: f for f in (event_bars_tumbling, event_breadth_sliding, event_sessions, weighted_p75, cost_degradation_latch, signal_changes, contract_violations, ledger_state, status_hysteresis, live_performance, artifact_time_validity, identity_hashes)}
 ORACLES = dict(zip(QUERIES, (BARS_SQL, BREADTH_SQL, SESSION_SQL, P75_SQL, LATCH_SQL, CHANGES_SQL, VIOLATION_SQL, LEDGER_SQL, HYSTERESIS_SQL, PERFORMANCE_SQL, ARTIFACT_SQL, HASH_SQL), strict=True))

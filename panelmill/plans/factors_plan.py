@@ -46,9 +46,7 @@ wt AS (SELECT code, round(greatest(-1, least(1, 0.40::DOUBLE * tanh((close - e)
 
 
 def _setup(spark, sf_dir):
-    """Setup and risk with the weekly score lifted, so that both entry patterns occur in these random walks."""
-    weekly = weekly_trend(spark, sf_dir).withColumn("weekly_score", F.col("weekly_score") + 0.5)
-    return T.structural_risk(T.setup(T.setup_inputs(B.daily_bars(spark, sf_dir)).join(weekly, "code")))
+    return T.structural_risk(T.setup(T.setup_inputs(B.daily_bars(spark, sf_dir)).join(weekly_trend(spark, sf_dir), "code")))
 
 
 def setup_and_risk(spark, sf_dir):
@@ -62,7 +60,7 @@ def _unit(x):
 SETUP = f"""d0 AS (SELECT *, {TR} AS tr, count(*) OVER (PARTITION BY code) AS m, lag(close) OVER (PARTITION BY code ORDER BY date) AS previous, max(high) {over(20, 1)} AS high20, min(low) {over(10, 1)} AS swing, avg(volume) {over(20, 1)} AS vma FROM b),
 df(code, n, a5, a14, a20, e) AS (SELECT code, n, tr, tr, tr, close FROM d0 WHERE n = 1 UNION ALL SELECT b.code, b.n, {', '.join(f'r.a{k} * (1 - 1::DOUBLE / {k}) + b.tr * (1::DOUBLE / {k})' for k in (5, 14, 20))}, r.e * (1 - 2::DOUBLE / 21) + b.close * (2::DOUBLE / 21)
   FROM df r JOIN d0 b ON b.code = r.code AND b.n = r.n + 1),
-si AS (SELECT d0.*, a5, a14, a20, e, weekly_score + 0.5 AS ws, {_unit('(close - low) / greatest(high - low, close * 1e-6)')} AS clv, CASE WHEN vma > 0 THEN volume / vma ELSE 1 END AS vr, (close - high20) / a14 AS gap, (close - e) / a14 AS dist
+si AS (SELECT d0.*, a5, a14, a20, e, weekly_score AS ws, {_unit('(close - low) / greatest(high - low, close * 1e-6)')} AS clv, CASE WHEN vma > 0 THEN volume / vma ELSE 1 END AS vr, (close - high20) / a14 AS gap, (close - e) / a14 AS dist
   FROM d0 JOIN df USING (code, n) JOIN wt USING (code) WHERE n = m AND m >= 25),
 sb AS (SELECT *, CASE WHEN ws >= 0.25 AND close >= high20 AND gap BETWEEN 0 AND 1 AND clv >= 0.65 AND vr >= 1.2 THEN 100 * (0.30::DOUBLE * {_unit('1 - abs(gap - 0.25) / 0.75')} + 0.25::DOUBLE * {_unit('ln(greatest(vr, 1)) / ln(2)')} + 0.25::DOUBLE * {_unit('(clv - 0.5) / 0.5')} + 0.20::DOUBLE * {_unit('1 - a5 / greatest(a20, 1e-9)')}) ELSE 0 END AS bs,
   CASE WHEN ws >= 0.25 AND dist BETWEEN -0.75 AND 1.25 AND close > previous AND close >= open AND clv >= 0.55 AND vr <= 1.2 THEN 100 * (0.35::DOUBLE * {_unit('1 - abs(dist) / 1.5')} + 0.25::DOUBLE * {_unit('(clv - 0.5) / 0.5')} + 0.20::DOUBLE * {_unit('(1.2 - vr) / 0.7')} + 0.20::DOUBLE * {_unit('(close - previous) / a14')}) ELSE 0 END AS ps FROM si),
@@ -76,15 +74,14 @@ SETUP_SQL = with_(BARS, WEEKLY, SETUP) + "SELECT code, setup, setup_score, round
 
 def priority_score(spark, sf_dir):
     rps = R.relative_strength(B.daily_bars(spark, sf_dir), B.benchmark(spark, sf_dir)).select("code", F.col("score").alias("rps"))
-    rows = _setup(spark, sf_dir).withColumn("weekly_score", F.col("weekly_score") - 0.5)
-    rows = rows.join(rps, "code", "left").join(monthly_trend(spark, sf_dir), "code", "left")
+    rows = _setup(spark, sf_dir).join(rps, "code", "left").join(monthly_trend(spark, sf_dir), "code", "left")
     return T.priority(rows).select("code", "priority")
 
 
 RS = X.ORACLES["relative_strength"]
 RS_CTES = RS[RS.index("j AS ("): RS.rindex("SELECT code, round(beta, 4)")]
 RS_LAST = RS[RS.rindex("SELECT code, round(beta, 4)"):]
-PRIORITY_SQL = with_(BARS, BENCH, WEEKLY, MONTHLY, SETUP, RS_CTES.rstrip().rstrip(",") + f", rps AS ({RS_LAST})") + """SELECT code, round(greatest(0, least(100, setup_score * 0.30::DOUBLE + coalesce(score, 0) * 0.30::DOUBLE + (ws - 0.5 + 1) * 50 * 0.25::DOUBLE + risk_quality * 0.10::DOUBLE + (coalesce(monthly_score, 0) + 1) * 50 * 0.05::DOUBLE + 1e-7)), 4) AS priority
+PRIORITY_SQL = with_(BARS, BENCH, WEEKLY, MONTHLY, SETUP, RS_CTES.rstrip().rstrip(",") + f", rps AS ({RS_LAST})") + """SELECT code, round(greatest(0, least(100, setup_score * 0.30::DOUBLE + coalesce(score, 0) * 0.30::DOUBLE + (ws + 1) * 50 * 0.25::DOUBLE + risk_quality * 0.10::DOUBLE + (coalesce(monthly_score, 0) + 1) * 50 * 0.05::DOUBLE + 1e-7)), 4) AS priority
 FROM sq LEFT JOIN rps USING (code) LEFT JOIN mt USING (code)"""
 
 

@@ -93,11 +93,20 @@ SLOPE_SQL = with_(BARS) + "SELECT code, date, round(p, 6) AS price_slope, round(
 def macd_last(spark, sf_dir):
     """DIF, DEA and histogram (12/26/9) at each instrument's last bar, with the cross against the bar before."""
     h = E.histories(B.daily_bars(spark, sf_dir), "close").withColumn("c", E.values("close"))
-    h = h.withColumn("dif", F.zip_with(E.ewm(F.col("c"), 2 / 13), E.ewm(F.col("c"), 2 / 27), lambda a, b: a - b))
-    h = h.withColumn("dea", E.ewm(F.col("dif"), 2 / 10)).withColumn("hist", F.zip_with("dif", "dea", lambda a, b: a - b))
-    now, before = F.element_at("hist", -1), F.try_element_at("hist", F.lit(-2))
+    first = F.element_at("c", 1)
+    zero = F.lit(0.0)
+    start = F.struct(first.alias("fast"), first.alias("slow"), zero.alias("dif"), zero.alias("dea"), zero.alias("hist"), F.lit(None).cast("double").alias("before"))
+
+    def step(acc, x):
+        fast, slow = acc["fast"] * (1 - 2 / 13) + x * (2 / 13), acc["slow"] * (1 - 2 / 27) + x * (2 / 27)
+        dif = fast - slow
+        dea = acc["dea"] * (1 - 2 / 10) + dif * (2 / 10)
+        return F.struct(fast.alias("fast"), slow.alias("slow"), dif.alias("dif"), dea.alias("dea"), (dif - dea).alias("hist"), acc["hist"].alias("before"))
+
+    h = h.withColumn("x", F.aggregate(F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0))), start, step))
+    now, before = F.col("x.hist"), F.col("x.before")
     cross = F.when((now > 0) & (before <= 0), "golden").when((now < 0) & (before >= 0), "death").otherwise("none")
-    return h.select("code", F.element_at("h", -1)["date"].alias("date"), *[F.round(F.element_at(k, -1), 6).alias(k) for k in ("dif", "dea", "hist")], cross.alias("cross_state"))
+    return h.select("code", F.element_at("h", -1)["date"].alias("date"), *[F.round(f"x.{k}", 6).alias(k) for k in ("dif", "dea", "hist")], cross.alias("cross_state"))
 
 
 def fold_sql(columns: str, first: str, step: str) -> str:
@@ -211,19 +220,25 @@ SELECT code, date, stop FROM (SELECT *, max(n) OVER (PARTITION BY code) AS m FRO
 
 
 def histogram_divergence(spark, sf_dir):
-    """Top divergence in 30 bars: the later half has the higher close and the lower momentum at its peak."""
-    rows = B.numbered_bars(spark, sf_dir).withColumn("m", F.round(F.col("close") - F.avg("close").over(W.last_n(10)), 9))
-    rows = rows.withColumn("w", F.collect_list(F.struct("close", "m")).over(W.last_n(30))).where("n >= 30")
-    half = lambda at: F.slice("w", at, 15)
-    peak = lambda part: F.element_at(part, F.array_position(F.transform(part, lambda x: x["close"]), F.array_max(F.transform(part, lambda x: x["close"]))).cast("int"))
-    rows = rows.withColumns({"a": peak(half(1)), "z": peak(half(16))})
-    return rows.select("code", "date", ((F.col("z.close") > F.col("a.close")) & (F.col("z.m") < F.col("a.m"))).alias("top_divergence"))
-
-
-DIVERGENCE_SQL = with_(BARS) + f"""SELECT code, date, zc > ac AND zm < am AS top_divergence FROM (SELECT code, date, n, list_max(c1) AS ac, list_max(c2) AS zc,
-  m1[list_position(c1, list_max(c1))] AS am, m2[list_position(c2, list_max(c2))] AS zm FROM (
-  SELECT code, date, n, cl[1:15] AS c1, cl[16:30] AS c2, ml[1:15] AS m1, ml[16:30] AS m2 FROM (
-    SELECT code, date, n, list(close) {over(30)} AS cl, list(m) {over(30)} AS ml FROM (SELECT *, round(close - avg(close) {over(10)}, 9) AS m FROM b))) WHERE n >= 30)"""
+    """Divergence of close and MACD histogram over the last 30 bars: a higher high with a lower histogram, a lower low with a higher one, half against half."""
+    h = E.histories(B.daily_bars(spark, sf_dir), "close").where(F.size("h") >= 30).withColumn("c", E.values("close"))
+    h = h.withColumn("dif", F.zip_with(E.ewm(F.col("c"), 2 / 13), E.ewm(F.col("c"), 2 / 27), lambda a, b: a - b))
+    h = h.withColumn("hist", F.zip_with("dif", E.ewm(F.col("dif"), 2 / 10), lambda a, b: F.round(a - b, 9)))
+    half = lambda c, at: F.slice(F.slice(c, -30, 30), at, 15)
+    for name, at in (("a", 1), ("z", 16)):
+        for kind, pick in (("high", F.array_max), ("low", F.array_min)):
+            part = half("c", at)
+            h = h.withColumn(f"{kind}_{name}", pick(part)).withColumn(f"{kind}_{name}_hist", F.element_at(half("hist", at), F.array_position(part, pick(part)).cast("int")))
+    top = (F.col("high_z") > F.col("high_a")) & (F.col("high_z_hist") < F.col("high_a_hist"))
+    bottom = (F.col("low_z") < F.col("low_a")) & (F.col("low_z_hist") > F.col("low_a_hist"))
+    return h.select("code", F.element_at("h", -1)["date"].alias("date"), top.alias("top_divergence"), bottom.alias("bottom_divergence"))
+
+
+_HALVES = ", ".join(f"list_{f}({c}) AS {k}_{c}, h_{c}[list_position({c}, list_{f}({c}))] AS {k}_{c}_hist" for c in ("a", "z") for k, f in (("high", "max"), ("low", "min")))
+DIVERGENCE_SQL = MACD_SQL[: MACD_SQL.rindex("\nSELECT code, date, round(dif, 6)")] + f""", l AS (SELECT code, max(date) AS date, list(close ORDER BY n) AS c, list(round(e12 - e26 - dea, 9) ORDER BY n) AS h FROM (
+    SELECT w.*, b.close, max(w.n) OVER (PARTITION BY w.code) AS m FROM w JOIN b USING (code, n)) WHERE n > m - 30 AND m >= 30 GROUP BY code),
+p AS (SELECT code, date, {_HALVES} FROM (SELECT code, date, c[1:15] AS a, c[16:30] AS z, h[1:15] AS h_a, h[16:30] AS h_z FROM l))
+SELECT code, date, high_z > high_a AND high_z_hist < high_a_hist AS top_divergence, low_z < low_a AND low_z_hist > low_a_hist AS bottom_divergence FROM p"""
 
 QUERIES = {
     f.__name__: f

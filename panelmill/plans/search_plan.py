@@ -119,7 +119,7 @@ EXITS_SQL = with_(BARS) + f"""SELECT code, date, entry_date, CASE WHEN hit IS NO
 
 
 def _labelled(spark, sf_dir):
-    return X.panel(spark, sf_dir).where("forward IS NOT NULL").select("date", "code", "forward", *X.FACTORS)
+    return X.panel(spark, sf_dir).where("forward IS NOT NULL").select("date", "code", "forward", *X.PRIMITIVES)
 
 
 def factor_diversity(spark, sf_dir):
@@ -139,7 +139,7 @@ DIVERSE_SQL = with_(*X.BASE, X.IC, X.SUMMARY, f"dv AS ({P.DIVERSITY_SQL[P.DIVERS
 
 def genetic_factors(spark, sf_dir):
     """The evolved expressions, fittest first."""
-    found = H.evolve(_labelled(spark, sf_dir), X.FACTORS)
+    found = H.evolve(_labelled(spark, sf_dir), list(X.PRIMITIVES))
     return spark.createDataFrame([(i + 1, r["expression"], r["generation"], r["fitness"], r["ic_mean"], r["turnover"]) for i, r in enumerate(found)], "place int, expression string, generation int, fitness double, ic_mean double, turnover double")
 
 

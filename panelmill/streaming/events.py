@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from panelmill.operators import events as E
@@ -16,12 +17,24 @@ LEDGER = "user_id long, plans long, purchases long, open_plans long, last_ts tim
 STATE = "plans long, purchases long, open_plans long, last_us long"
 
 
-def event_stream(spark: SparkSession, path: str, schema, files_a_trigger: int = 1) -> DataFrame:
-    """Parquet files of a folder as a stream of events with a watermark, each event_id once."""
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
+def event_stream(spark: SparkSession, path: str, schema, files_a_trigger: int | None = None) -> DataFrame:
+    """Parquet files of a folder as a stream of events with a watermark, each event_id once.
+
+    Spark reads files by their modification times, which say nothing of event times, and drops what comes
+    later than the watermark. So all files that are there are read in one trigger, and none of a backlog
+    is late to another. files_a_trigger bounds a trigger where files are known to come in order of events;
+    dropped_rows then tells whether that held.
+    """
+    reader = spark.readStream.schema(schema)
+    raw = (reader.option("maxFilesPerTrigger", files_a_trigger) if files_a_trigger else reader).parquet(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that stateful operators of a query dropped as later than the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def bars(events: DataFrame) -> DataFrame:
     return E.tumbling_bars(events)
 
