@@ -135,10 +135,10 @@ SPEARMAN_SQL = with_(*X.BASE) + f"SELECT code, count(*) AS weeks, round(corr(a,
 
 
 def portfolio_summary(spark, sf_dir):
-    return P.summary(L._monthly(spark, sf_dir).select("code", "date", (F.col("r") / 100).alias("r"), (F.col("rb") / 100).alias("rb")))
+    return P.summary(L._monthly(spark, sf_dir).select("code", "date", (F.col("r") / 1000).alias("r"), (F.col("rb") / 1000).alias("rb")))
 
 
-SUMMARY = """ps AS (SELECT code, date, r / 100 AS r, rb / 100 AS rb, exp(sum(ln(1 + r / 100)) OVER w) AS nav, exp(sum(ln(1 + rb / 100)) OVER w) AS bnav FROM wr WINDOW w AS (PARTITION BY code ORDER BY date)),
+SUMMARY = """ps AS (SELECT code, date, r / 1000 AS r, rb / 1000 AS rb, exp(sum(ln(1 + r / 1000)) OVER w) AS nav, exp(sum(ln(1 + rb / 1000)) OVER w) AS bnav FROM wr WINDOW w AS (PARTITION BY code ORDER BY date)),
 pd AS (SELECT *, 1 - nav / greatest(1, max(nav) OVER w) AS dd, 1 - bnav / greatest(1, max(bnav) OVER w) AS bdd FROM ps WINDOW w AS (PARTITION BY code ORDER BY date)),
 py AS (SELECT code, avg(CASE WHEN e > 0 THEN 1.0::DOUBLE ELSE 0 END) AS py FROM (SELECT code, year(date) AS y, round(product(1 + r) - product(1 + rb), 9) AS e FROM ps GROUP BY 1, 2) GROUP BY 1),
 pa AS (SELECT code, count(*) AS periods, arg_max(nav, date) - 1 AS total, arg_max(bnav, date) - 1 AS btotal, greatest(date_diff('day', min(date), max(date)) / 365.25::DOUBLE, 1 / 52::DOUBLE) AS years, avg(r - rb) / greatest(stddev_samp(r - rb), 1e-8) * sqrt(52) AS ir, avg(r) / greatest(stddev_samp(r), 1e-8) * sqrt(52) AS sharpe, max(dd) AS dd, max(bdd) AS bdd FROM pd GROUP BY 1),
