@@ -38,7 +38,7 @@ class PieceEncoder:
     with that space; otherwise white space only separates and is dropped.
     """
 
-    def __init__(self, path: str, keeps_space: bool, remembered: int = 1_100_000):
+    def __init__(self, path: str, keeps_space: bool, remembered: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
