@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import chat, decontaminate, idstore, language_model, neardup, packing, quality, secrets, sharding, vectors
+from panelmill.llm import chat, decontaminate, conversations, idstore, language_model, neardup, packing, pieces, quality, secrets, sharding, vectors, whitening
 from panelmill.llm.common import fold, table
 
 
@@ -95,9 +95,61 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digests(table(spark, sf_dir, "conversations"))
+
+
+#: crc32 of an ASCII text, bit by bit: each byte is followed by eight steps.
+CRC32 = """list_reduce([4294967295] || flatten(list_transform(string_split({0}, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"""
+#: A state is {cost c, edits a, repaired r}. NONE cannot be reached.
+NONE = "{'c': 1000000000, 'a': '', 'r': ''}"
+_edit = "{{'c': {0}.c + {1}, 'a': {0}.a || '{2}', 'r': {0}.r || {3}}}".format  # from state, cost, initial, what is written
+_least = lambda *states: f"list_sort([{', '.join(states)}])[1]"
+_line = lambda role: f"chr(10) || {role} || ':'"
+_insert = lambda state, role: _edit(state, 3, "I", _line(f"'{role}'"))
+_keep = lambda state, initial: f"CASE WHEN NOT gone AND initial = '{initial}' THEN {_edit(state, 'cut', 'K', _line('role') + ' || text')} ELSE {NONE} END"
+_turn = lambda state, role: f"CASE WHEN NOT gone THEN {_edit(state, '3 + cut', 'R', _line(chr(39) + role + chr(39)) + ' || text')} ELSE {NONE} END"
+_drop = lambda state: _edit(state, 4, "D", "''")
+
+
+def _inserted(state: str) -> str:
+    """States 0 to 3 after any inserts, as columns e0 to e3 of rows with columns b0 to b3."""
+    return f"""SELECT *, {_least('e2b', 'b3')} AS e3 FROM (SELECT *, {_insert('e2', 'assistant')} AS e2b FROM (SELECT *, b0 AS e0, b1 AS e1, {_least('b2', _insert('b0', 'user'), _insert('b1', 'user'), _insert('b3', 'user'))} AS e2 FROM {state}))"""
+
+
+OP11_SQL = f"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor({CRC32.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")}, 4294967295) % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM t WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, regexp_replace(text, '[\x20\x09-\x0D]+\\z', '') AS body, left(role, 1) AS initial FROM d),
+f AS (SELECT *, CASE WHEN body = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before, count(*) OVER (PARTITION BY conv_id) AS n FROM o),
+g AS (SELECT *, fault IN (1, 2) AS gone, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS cut FROM f),
+walk(conv_id, i, b0, b1, b2, b3) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, {{'c': 0, 'a': '', 'r': ''}}, {NONE}, {NONE}, {NONE} FROM conversations
+  UNION ALL SELECT conv_id, i, {_drop('e0')}, {_least(_drop('e1'), _keep('e0', 's'))},
+    {_least(_drop('e2'), *(_keep(e, 'u') for e in ('e0', 'e1', 'e3')), *(_turn(e, 'user') for e in ('e0', 'e1', 'e3')))},
+    {_least(_drop('e3'), _keep('e2', 'a'), _turn('e2', 'assistant'))}
+  FROM (SELECT w.* EXCLUDE (i), g.i, g.role, g.text, g.initial, g.gone, g.cut FROM ({_inserted('walk')}) w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1)),
+ends AS (SELECT conv_id, arg_max({_least('e0', 'e3')}, i) AS best FROM ({_inserted('walk')}) GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(substr(best.r, 2)) AS repaired_sha256 FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.piece_digests(pieces.decode_pieces(pieces.encode_pieces(docs, path), path))
+
+
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op9_idstore": op9_idstore, "op10_language_model": op10_language_model, "op3_sharding": op3_sharding, "op4_decontaminate": op4_decontaminate, "op5_neardup": op5_neardup, "op7_vectors": op7_vectors, "op6_chat": op6_chat, "op8_secrets": op8_secrets}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op9_idstore": op9_idstore, "op10_language_model": op10_language_model, "op3_sharding": op3_sharding, "op4_decontaminate": op4_decontaminate, "op5_neardup": op5_neardup, "op7_vectors": op7_vectors, "op6_chat": op6_chat, "op8_secrets": op8_secrets, "op11_conversations": op11_conversations, "op12_whitening": op12_whitening, "op13_pieces": op13_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": OP6_SQL}
+    return {"op6_chat": OP6_SQL, "op11_conversations": OP11_SQL}
