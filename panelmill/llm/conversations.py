@@ -243,21 +243,28 @@ def _states(shipped):
 def _edits(shipped):
     names = [f.split()[0] for f in EDITS.split(", ")]
 
+    def together(rows: list[pa.RecordBatch], parts: list[str]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows).append_column("edits", pa.array(parts, pa.string()))
+        yield from table.select(names).combine_chunks().to_batches()
+
     def edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shipped.value
+        known, rows, parts = shipped.value, [], []
         for fragment in _fragments(batches):
             state, behind, ends = known.get((fragment.key, fragment.part), (0, END.tolist(), True))
             done, state = unroll_runs(fragment.runs, state, np.array(behind))
             if ends:
                 done[-1] += closing(state)
             at = 0
-            for rows in fragment.rows:
-                parts = []
-                for n in rows.column("copies").to_pylist():
-                    parts.append("".join(done[at : at + n]))
+            for batch in fragment.rows:
+                for n in batch.column("copies").to_pylist():
+                    parts.append(done[at] if n == 1 else "".join(done[at : at + n]))
                     at += n
-                columns = {k: rows.column(k) for k in rows.schema.names} | {"edits": pa.array(parts, pa.string())}
-                yield pa.RecordBatch.from_arrays([columns[k] for k in names], names)
+            rows += fragment.rows
+            if len(parts) >= 8192:
+                yield from together(rows, parts)
+                rows, parts = [], []
+        if rows:
+            yield from together(rows, parts)
 
     return edits
 
@@ -329,10 +336,9 @@ def plan_repair(turns: DataFrame) -> DataFrame:
 
 def repair(turns: DataFrame) -> DataFrame:
     """plan_repair(turns) with role and text of every row that stays (null for one whose copies all go)."""
-    plan = plan_repair(turns)
     texts = turns.select(_digest_of(1, "role", "text").alias("k1"), _digest_of(2, "role", "text").alias("k2"), "role", "text").dropDuplicates(["k1", "k2"])
     stays = F.col("edits").rlike("[KR]")
-    return plan.where(stays).join(texts, ["k1", "k2"], "left").unionByName(plan.where(~stays), allowMissingColumns=True)
+    return plan_repair(turns).join(texts, ["k1", "k2"], "left").withColumns({"role": F.when(stays, F.col("role")), "text": F.when(stays, F.col("text"))})
 
 
 # --- digests -------------------------------------------------------------------------------------------
