@@ -6,13 +6,13 @@ weighted by gated attention; a logistic layer scores the weighted sum. Only docu
 needed: the attention weights are learned from them, which is what multiple-instance learning means.
 
 Fitting takes a bounded sample of labelled rows (max_rows documents, the first by a seeded hash of the key, however
-often a key occurs) and of each at most FIT_PASSAGES passages at even distances, so at most
-max_rows * FIT_PASSAGES * WIDTH * 2 bytes come to the driver (156 MB). Encoding runs on Spark, the small
+often a key occurs) and of each at most most_passages (FIT_PASSAGES) passages at even distances, so at most
+max_rows * most_passages * WIDTH * 2 bytes come to the driver (156 MB). Encoding runs on Spark, the small
 gradient descent on the sample's vectors runs on the driver.
 Scoring covers every document and every passage.
 
 Defined results: a null text is empty and an empty text is one empty passage, so it has a score;
-rows with a null key are never used for fitting; a document that occurs twice among the labels is
+rows with a null key are never used for fitting, and their held_out is null; a document that occurs twice among the labels is
 used as often; without any labelled row every score is the prior 0.5. Labels, language, source
 and key are no inputs of a score. Other columns pass through or are ignored.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from panelmill.llm.common import text_or_empty
+from panelmill.llm.common import partitions, text_or_empty
 
 PASSAGE_BYTES = 384
 TRIGRAM_BINS = 64
@@ -72,12 +72,15 @@ def encode_passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         opening = begin[lengths > 0]
         begins[opening] = inside[opening]
     starts = np.flatnonzero(begins)
+    word_of = passage[starts]
+    words = np.bincount(word_of, minlength=total)
+    out[:, _CLASSES] = np.log1p(size / np.maximum(1, words)) / 4
+    # The share of words that an earlier one repeats; without any word it is 1.
+    out[:, _CLASSES + 1] = 1
     if len(starts):
-        word_of = passage[starts]
-        words = np.bincount(word_of, minlength=total)
         text_of = np.repeat(np.arange(len(texts)), lengths)[starts]
         gram = np.zeros(len(starts), dtype=np.uint64)
-        ends = np.append(starts[1:], len(data))
+        ends = np.minimum(np.append(starts[1:], len(data)), (begin + lengths)[text_of])
         for i in range(12):
             at = starts + i
             gram = gram * np.uint64(0x100000001B3) + np.where(at < ends, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint64)
@@ -85,9 +88,8 @@ def encode_passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         _, once = np.unique(keyed, return_index=True)
         fresh = np.zeros(len(starts), dtype=np.float64)
         fresh[once] = 1
-        out[:, _CLASSES] = np.log1p(size / np.maximum(1, words)) / 4
         out[:, _CLASSES + 1] = 1 - np.bincount(word_of, weights=fresh, minlength=total) / np.maximum(1, words)
-        marked = (kind[np.maximum(starts - 2, 0)] >= 5) & (starts >= 2)
+        marked = (kind[np.maximum(starts - 2, 0)] >= 5) & (place[starts] >= 2)
         out[:, _CLASSES + 2] = np.bincount(word_of, weights=marked, minlength=total) / np.maximum(1, words)
     out[:, _CLASSES + 3] = np.log1p(np.repeat(lengths, counts)) / 12
     if len(data) > 2:
@@ -114,21 +116,30 @@ class Model:
     c: np.ndarray
     d: np.ndarray
 
-    def hidden(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(((x - self.mean) * self.scale) @ self.w + self.b)
+    def hidden(self, x: np.ndarray, times=np.matmul) -> np.ndarray:
+        return np.tanh(times((x - self.mean) * self.scale, self.w) + self.b)
 
-    def attend(self, h: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    def attend(self, h: np.ndarray, first: np.ndarray, counts: np.ndarray, times=np.matmul) -> tuple[np.ndarray, ...]:
         """Attention weights by passage and the bag vectors."""
-        t, g = np.tanh(h @ self.v), 1 / (1 + np.exp(-(h @ self.u)))
-        e = (t * g) @ self.a
+        t, g = np.tanh(times(h, self.v)), 1 / (1 + np.exp(-times(h, self.u)))
+        e = times(t * g, self.a)
         top = np.maximum.reduceat(e, first)
         p = np.exp(e - np.repeat(top, counts))
         p /= np.repeat(np.add.reduceat(p, first), counts)
         return t, g, p, np.add.reduceat(p[:, None] * h, first, axis=0)
 
     def scores(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        _, _, _, z = self.attend(self.hidden(x), np.cumsum(counts) - counts, counts)
-        return 1 / (1 + np.exp(-(z @ self.c + self.d[0])))
+        """The score of each bag, to the last digit a function of that bag alone."""
+        _, _, _, z = self.attend(self.hidden(x, row_by_row), np.cumsum(counts) - counts, counts, row_by_row)
+        return 1 / (1 + np.exp(-(row_by_row(z, self.c) + self.d[0])))
+
+
+def row_by_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b with one order of sums for every row, whatever the number of rows (a library's product rounds by the shape)."""
+    out = np.zeros((len(a), *b.shape[1:]))
+    for j in range(a.shape[1]):
+        out += a[:, j : j + 1] * b[j] if b.ndim > 1 else a[:, j] * b[j]
+    return out
 
 
 PARAMETERS = ("w", "b", "v", "u", "a", "c", "d")
@@ -179,21 +190,25 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int
     return m
 
 
-def _encode_bags(batches):
-    for batch in batches:
-        texts = [t.encode() for t in batch.column("text").to_pylist()]
-        for at in range(0, len(texts), 64):
-            x, counts = encode_passages(texts[at : at + 64])
-            edges = np.concatenate(([0], np.cumsum(counts)))
-            bags = [x[a + np.unique(np.linspace(0, b - a - 1, min(b - a, FIT_PASSAGES)).astype(np.int64))] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            packed = pa.array([bag.astype(np.float16).tobytes() for bag in bags], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(bags)) for k in ("doc_id", "label")), packed], ["doc_id", "label", "bag"])
+def _encode_bags(most_passages: int):
+    def encode(batches):
+        for batch in batches:
+            texts = [t.encode() for t in batch.column("text").to_pylist()]
+            for at in range(0, len(texts), 64):
+                x, counts = encode_passages(texts[at : at + 64])
+                edges = np.concatenate(([0], np.cumsum(counts)))
+                bags = [x[a + np.unique(np.linspace(0, b - a - 1, min(b - a, most_passages)).astype(np.int64))] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                packed = pa.array([bag.astype(np.float16).tobytes() for bag in bags], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(bags)) for k in ("doc_id", "label")), packed], ["doc_id", "label", "bag"])
+
+    return encode
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, max_rows: int = 4000, seed: int = 7) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, max_rows: int = 4000, seed: int = 7, most_passages: int = FIT_PASSAGES) -> Model | None:
     """Fit on at most max_rows labelled documents, the first by a seeded hash of doc_id.
 
-    allowed: a condition on doc_id that rows for fitting must meet.
+    allowed: a condition on doc_id that rows for fitting must meet. most_passages: of a document with more passages, only so many at
+    even distances are learned from (scores read all); a large number lifts the bound, and the driver's memory with it.
     """
     rows = labels.select("doc_id", F.col("quality").cast("double").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     if allowed is not None:
@@ -202,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, max
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     # The chosen keys are bounded by max_rows, so they are broadcast and the texts stay where they are.
     pairs = texts.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
-    bags = pairs.repartition(16).mapInArrow(_encode_bags, "doc_id long, label double, bag binary")
+    bags = pairs.repartition(partitions(docs.sparkSession)).mapInArrow(_encode_bags(most_passages), "doc_id long, label double, bag binary")
     # A key may stand for many rows, so the bound is set once more where the bags are made.
     found = bags.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "label", "bag").limit(max_rows).collect()
     if not found:

@@ -85,6 +85,16 @@ def test_fitting_takes_bounded_rows_and_passages(spark, monkeypatch):
     assert len(taken[0][0]) == 50 and len(taken[1][0]) == 1 and len(taken[1][0][0]) == quality.FIT_PASSAGES
 
 
+def test_scores_do_not_depend_on_neighbours():
+    rng = random.Random(5)
+    texts = ["", " \n ", "word", "  led by blanks", "ends in a word", "Marked. Twice! " * 40, "x" * 1000, "x. y", "é" * 500] + ["".join(rng.choices("ab .,\n", k=rng.randint(0, 2000))) for _ in range(30)]
+    m = quality.fit([quality.encode_passages([t.encode()])[0] for t in texts], np.array([k % 2 for k in range(len(texts))], dtype=float), rounds=4)
+    alone = {t: m.scores(*quality.encode_passages([t.encode()]))[0] for t in texts}
+    for _ in range(25):
+        some = rng.sample(texts, rng.randint(1, len(texts)))
+        assert m.scores(*quality.encode_passages([t.encode() for t in some])).tolist() == [alone[t] for t in some]
+
+
 def test_quality_of_awkward_rows(spark, awkward, no_docs):
     labels = spark.createDataFrame([(1, 1), (4, 0), (5, 0), (None, 1), (2, None)], "doc_id long, quality int")
     model = quality.train(awkward, labels)
