@@ -64,8 +64,9 @@ def policy_pulse(df: DataFrame) -> DataFrame:
 
 def market_policy(df: DataFrame) -> DataFrame:
     """From bull, bear, total, trend, stress and the thrusts to score, state, permission and exposure."""
+    # Shares of few rows often lie on the edge of the last digit; those go up, whatever the order of summing.
     raw = TREND * F.col("trend") + BREADTH * F.coalesce(F.try_divide(F.col("bull") - F.col("bear"), F.col("total")), F.lit(0.0)) - VOLATILITY * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("stress") - 50) / 50))
-    df = policy_pulse(df.withColumn("raw_score", F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)), 6)))
+    df = policy_pulse(df.withColumn("raw_score", F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)) + 1e-9, 6)))
     df = df.withColumn("score", F.when(F.col("pulse") != "NONE", F.greatest("raw_score", "score_floor")).otherwise(F.col("raw_score")))
     df = exposure_ladder(df)
     df = df.withColumn("exposure", F.when(F.col("pulse") != "NONE", F.greatest("exposure", "exposure_floor")).otherwise(F.col("exposure")))
@@ -80,7 +81,7 @@ def _case(rules: list[tuple], value: int, otherwise) -> str:
 
 def policy_sql(source: str) -> str:
     """The same composition as SQL expressions, ending in a table named policy."""
-    return f"""p1 AS (SELECT *, round(greatest(-1, least(1, {TREND} * trend + {BREADTH} * ((bull - bear) / total) - {VOLATILITY} * greatest(0, least(1, (stress - 50) / 50)))), 6) AS raw_score FROM {source}),
+    return f"""p1 AS (SELECT *, round(greatest(-1, least(1, {TREND} * trend + {BREADTH} * ((bull - bear) / total) - {VOLATILITY} * greatest(0, least(1, (stress - 50) / 50)))) + 1e-9, 6) AS raw_score FROM {source}),
 p2 AS (SELECT *, {_case(PULSES, 1, 'NONE')} AS pulse FROM p1),
 p3 AS (SELECT *, {_case(EXPOSURE_FLOORS, 1, 0.0)} AS ef, {_case(SCORE_FLOORS, 1, -1.0)} AS sf FROM p2),
 p4 AS (SELECT *, CASE WHEN pulse <> 'NONE' THEN greatest(raw_score, sf) ELSE raw_score END AS score FROM p3),
