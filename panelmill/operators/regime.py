@@ -50,7 +50,7 @@ def select_targets(scored: DataFrame, defensive: list[str], n: int = 3, least_am
     """date, slot, code, industry_group, rotation_score: the best name of each group, the best n of them, and the fallback.
 
     In a recovery with fewer than two names outside defensive groups, the broad market (if it is liquid:
-    column broad_amount) stands for all, joins at the end, or takes the place of the weakest defensive name.
+    column broad_amount) stands for all, joins at the end, or takes the place of the weakest defensive name; not where a name of its group is held.
     """
     order = [F.desc("rotation_score"), "code"]
     best = eligible(scored, defensive, least_amount).withColumn("g", F.row_number().over(Window.partitionBy("date", "industry_group").orderBy(*order))).where("g = 1")
@@ -58,9 +58,9 @@ def select_targets(scored: DataFrame, defensive: list[str], n: int = 3, least_am
     pure = F.col("industry_group").isin(*defensive)
     picks = picks.select("date", "slot", "code", "industry_group", "rotation_score", pure.alias("pure"))
     dates = scored.groupBy("date").agg(F.bool_or("recovery").alias("recovery"), F.max("broad_amount").alias("broad_amount"))
-    held = picks.groupBy("date").agg(F.count(F.lit(1)).alias("names"), F.count_if(~F.col("pure")).alias("risk"), F.max(F.when(F.col("pure"), F.col("slot"))).alias("weakest"))
+    held = picks.groupBy("date").agg(F.count(F.lit(1)).alias("names"), F.count_if(~F.col("pure")).alias("risk"), F.max(F.when(F.col("pure"), F.col("slot"))).alias("weakest"), F.bool_or(F.col("industry_group") == FALLBACK_GROUP).alias("broad"))
     plan = dates.join(held, "date", "left").fillna(0, ["names", "risk"])
-    plan = plan.where(F.col("recovery") & (F.col("risk") < LEAST_RISK_NAMES) & (F.col("broad_amount") >= least_amount))
+    plan = plan.where(F.col("recovery") & (F.col("risk") < LEAST_RISK_NAMES) & (F.col("broad_amount") >= least_amount) & ~F.coalesce("broad", F.lit(False)))
     place = F.when(F.col("risk") == 0, 1).when(F.col("names") < n, F.col("names") + 1).otherwise(F.coalesce("weakest", "names")).cast("int")
     plan = plan.select("date", place.alias("place"), (F.col("risk") == 0).alias("alone"))
     kept = picks.join(plan, "date", "left").where(F.col("place").isNull() | (~F.col("alone") & (F.col("slot") != F.col("place"))))

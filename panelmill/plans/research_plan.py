@@ -187,8 +187,8 @@ q4 AS (SELECT *, CASE WHEN NOT recovery THEN base WHEN {_STARTS('PULSE_EARLY')}
 q5 AS (SELECT * FROM q4 WHERE weekly_trend >= trend_floor AND amount >= {LEAST_AMOUNT} AND (NOT recovery OR (momentum_20 >= 0 AND (NOT {_PURE} OR (NOT {_STARTS('PULSE')} AND momentum_20 > 0))))),
 q6 AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY rotation_score DESC, code) AS slot FROM (SELECT *, row_number() OVER (PARTITION BY date, industry_group ORDER BY rotation_score DESC, code) AS g FROM q5) WHERE g = 1),
 q7 AS (SELECT *, {_PURE} AS pure FROM q6 WHERE slot <= 3),
-q8 AS (SELECT d.date, recovery, broad, coalesce(names, 0) AS names, coalesce(risk, 0) AS risk, weakest FROM (SELECT date, bool_or(recovery) AS recovery, max(broad) AS broad FROM q2 GROUP BY 1) d LEFT JOIN (SELECT date, count(*) AS names, count(*) FILTER (NOT pure) AS risk, max(slot) FILTER (pure) AS weakest FROM q7 GROUP BY 1) USING (date)),
-q9 AS (SELECT date, risk = 0 AS alone, CASE WHEN risk = 0 THEN 1 WHEN names < 3 THEN names + 1 ELSE coalesce(weakest, names) END AS place FROM q8 WHERE recovery AND risk < 2 AND broad >= {LEAST_AMOUNT})
+q8 AS (SELECT d.date, recovery, broad, coalesce(names, 0) AS names, coalesce(risk, 0) AS risk, weakest, coalesce(broad_held, false) AS broad_held FROM (SELECT date, bool_or(recovery) AS recovery, max(broad) AS broad FROM q2 GROUP BY 1) d LEFT JOIN (SELECT date, count(*) AS names, count(*) FILTER (NOT pure) AS risk, max(slot) FILTER (pure) AS weakest, bool_or(industry_group = 'broad_market') AS broad_held FROM q7 GROUP BY 1) USING (date)),
+q9 AS (SELECT date, risk = 0 AS alone, CASE WHEN risk = 0 THEN 1 WHEN names < 3 THEN names + 1 ELSE coalesce(weakest, names) END AS place FROM q8 WHERE recovery AND risk < 2 AND NOT broad_held AND broad >= {LEAST_AMOUNT})
 SELECT date, CAST(slot AS INT) AS slot, code, industry_group, round(rotation_score, 6) AS rotation_score FROM q7 LEFT JOIN q9 USING (date) WHERE place IS NULL OR (NOT alone AND slot <> place)
 UNION ALL SELECT date, CAST(place AS INT), 'BROAD', 'broad_market', 0.5::DOUBLE FROM q9"""
 
