@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 from datetime import date, timedelta
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelmill.functions import costs
@@ -83,11 +84,22 @@ def fold_report(spark: SparkSession, rows: DataFrame, folds: list) -> DataFrame:
     return long.groupBy("p.fold", "p.part").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-def threshold_grid(rows: DataFrame, grid: list[tuple], conditions) -> DataFrame:
-    """Metrics of every threshold combination in one pass: rows explode to the combinations they satisfy."""
-    made = F.array(*[F.struct(*[F.lit(v).alias(f"t{i}") for i, v in enumerate(g)]) for g in grid])
-    long = rows.select("*", F.explode(F.filter(made, conditions)).alias("g"))
-    return long.groupBy(*[F.col(f"g.t{i}").alias(f"t{i}") for i in range(len(grid[0]))])
+def threshold_grid(rows: DataFrame, steps: dict[str, tuple], sums: dict[str, Column]) -> DataFrame:
+    """Sums over the rows that reach every threshold of a combination, for all combinations of steps (column -> rising thresholds).
+
+    A row falls into one cell (how many thresholds of each column it reaches), so all rows are aggregated once; the few cells then add up to the combinations
+    that they reach. A combination that no row reaches has 0 rows and null sums. Columns: t0, t1, ..., kept and the sums.
+    """
+    spark, names = rows.sparkSession, list(steps)
+    reached = [sum((F.when(F.col(c) >= t, 1).otherwise(0) for t in steps[c]), F.lit(0)).alias(f"c{i}") for i, c in enumerate(names)]
+    cells = rows.groupBy(*reached).agg(F.count(F.lit(1)).alias("kept"), *[F.sum(v).alias(k) for k, v in sums.items()])
+    for i, c in enumerate(names):
+        # Of a column's thresholds, a cell reaches the first so many.
+        cells = cells.withColumn(f"t{i}", F.explode(F.slice(F.array(*[F.lit(float(t)) for t in steps[c]]), F.lit(1), F.col(f"c{i}"))))
+    keys = [f"t{i}" for i in range(len(names))]
+    found = cells.groupBy(*keys).agg(F.sum("kept").alias("kept"), *[F.sum(k).alias(k) for k in sums])
+    whole = spark.createDataFrame([tuple(map(float, g)) for g in itertools.product(*steps.values())], ", ".join(f"{k} double" for k in keys))
+    return whole.join(found, keys, "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 80, tolerance: float = 1e-7) -> np.ndarray:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import itertools
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,19 +76,19 @@ SELECT fold, part, count(*) AS rows, min(date) AS first_date, max(date) AS last_
 WALK_SQL = WALK_SQL.replace("\n, days AS", ", days AS")
 
 STEPS = {"momentum_20": (-0.2, -0.1, 0.0, 0.1, 0.2), "trend_efficiency_20": (-0.2, 0.0, 0.2, 0.4), "volume_confirmation": (-1.0, -0.5, -0.25, 0.0, 0.25, 0.5, 1.0), "reversal_5": (-0.5, -0.1, 0.0)}
-GRID = list(itertools.product(*STEPS.values()))
 
 
 def threshold_grid(spark, sf_dir):
     """Rows kept by each of 420 combinations of four thresholds, their share of all, forward return and share of stops."""
     rows = panel(spark, sf_dir).where("forward IS NOT NULL").select(*STEPS, "forward")
     whole = rows.agg(F.count(F.lit(1)).alias("whole"))  # one row
-    met = L.threshold_grid(rows.join(F.broadcast(whole)), GRID, lambda g: functools.reduce(lambda a, b: a & b, [F.col(c) >= g[f"t{i}"] for i, c in enumerate(STEPS)]))
-    return met.agg(F.count(F.lit(1)).alias("kept"), F.round(F.count(F.lit(1)) / F.max("whole"), 6).alias("retention"), F.round(F.avg("forward"), 6).alias("mean_forward"), F.round(F.avg((F.col("forward") < -0.2).cast("double")), 6).alias("stopped"))
+    met = L.threshold_grid(rows, STEPS, {"total": F.col("forward"), "stops": (F.col("forward") < -0.2).cast("double")}).join(F.broadcast(whole))
+    keys = [f"t{i}" for i in range(len(STEPS))]
+    return met.select(*keys, "kept", F.round(F.try_divide("kept", "whole"), 6).alias("retention"), F.round(F.try_divide("total", "kept"), 6).alias("mean_forward"), F.round(F.try_divide("stops", "kept"), 6).alias("stopped"))
 
 
-GRID_SQL = with_(*BASE) + """SELECT t0, t1, t2, t3, count(*) AS kept, round(count(*) / max(whole)::DOUBLE, 6) AS retention, round(avg(forward), 6) AS mean_forward, round(avg(CASE WHEN forward < -0.2 THEN 1.0::DOUBLE ELSE 0 END), 6) AS stopped FROM pan, (SELECT count(*) AS whole FROM pan WHERE forward IS NOT NULL),
-  """ + ", ".join(f"(SELECT unnest({list(v)}::DOUBLE[]) AS t{i})" for i, v in enumerate(STEPS.values())) + " WHERE forward IS NOT NULL AND " + " AND ".join(f"{c} >= t{i}" for i, c in enumerate(STEPS)) + " GROUP BY 1, 2, 3, 4"
+GRID_SQL = with_(*BASE) + """SELECT t0, t1, t2, t3, count(p.forward) AS kept, round(count(p.forward) / max(whole)::DOUBLE, 6) AS retention, round(avg(p.forward), 6) AS mean_forward, round(avg(CASE WHEN p.forward < -0.2 THEN 1.0::DOUBLE WHEN p.forward IS NOT NULL THEN 0 END), 6) AS stopped
+FROM (SELECT * FROM (SELECT count(*) AS whole FROM pan WHERE forward IS NOT NULL), """ + ", ".join(f"(SELECT unnest({list(v)}::DOUBLE[]) AS t{i})" for i, v in enumerate(STEPS.values())) + ") LEFT JOIN (SELECT * FROM pan WHERE forward IS NOT NULL) p ON " + " AND ".join(f"p.{c} >= t{i}" for i, c in enumerate(STEPS)) + " GROUP BY 1, 2, 3, 4"
 
 
 def _monthly(spark, sf_dir) -> DataFrame:

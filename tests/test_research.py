@@ -118,3 +118,17 @@ def test_purged_holdout(spark):
     rows = spark.range(100).select(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 7).cast("int")).alias("date"))
     got = {r["part"]: r["n"] for r in R.purged_holdout(rows).groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got == {"train": 70, "selection": 11, "approval": 11, None: 8}
+
+
+def test_threshold_grid_equals_a_loop_and_keeps_empty_combinations(spark):
+    from panelmill.operators import labels
+
+    rows = [(0.1, 1.0, 5.0), (0.3, None, 7.0), (0.3, 2.0, 1.0), (-1.0, 9.0, 3.0)]
+    steps = {"a": (0.0, 0.2, 0.9), "b": (1.0, 2.0)}
+    got = {(r["t0"], r["t1"]): (r["kept"], r["s"]) for r in labels.threshold_grid(spark.createDataFrame(rows, "a double, b double, v double"), steps, {"s": F.col("v")}).collect()}
+    want = {}
+    for x in steps["a"]:
+        for y in steps["b"]:
+            met = [v for a, b, v in rows if a >= x and b is not None and b >= y]
+            want[x, y] = (len(met), sum(met) if met else None)
+    assert got == want and len(got) == 6
