@@ -4,8 +4,10 @@ Words are runs of letters and digits of the lower-cased text. A k-mer is a run o
 labelled with its occurrence number in the text. A sketch holds the k-mers with the LEAST least values
 of one hash function, in text order; two texts agree in a sketch with about the probability J**LEAST, less
 where the order differs, so agreement follows edit similarity rather than set overlap. Texts that
-agree in any of the SKETCHES sketches are candidates. For texts of up to SHORT words, and those long enough
-to be similar to one, every k-mer is a key, so any two of them that share a run of five words are candidates.
+agree in any of the SKETCHES sketches are candidates. One edit can break all k-mers of a short text. So texts of up
+to SHORT words, and those long enough to be similar to one, are sketched by single words instead: of n
+occurrence-labelled words similar texts have all but a fifth in common, so the SHARED least common ones are
+among the n / 5 + SHARED least of either, and each choice of SHARED from those is a key. No link of such texts is missed.
 
 A candidate pair is verified by aligning its words: with LCS the length of the longest common subsequence,
 similarity = LCS / (n1 + n2 - LCS), and 0.8 or more is a link. At most a ninth of both lengths is then
@@ -28,7 +30,9 @@ columns may have any name.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -44,8 +48,10 @@ from panelmill.llm.words import U64, hashed_words, mix, shingles, string_parts
 
 KMER, SIMILARITY = 5, 0.8
 SKETCHES, LEAST = 24, 3
-#: Up to so many words, candidates are found by shared k-mers alone; partners of such texts have at most SHORT / SIMILARITY.
+#: Up to so many words, candidates are found by single words alone; partners of such texts have at most SHORT / SIMILARITY.
 SHORT = 24
+#: Words in a key of a short text. Similar texts that aren't equal have at least four in common.
+SHARED = 4
 #: Nodes of a bucket on either side of one comparison, and numbers in one matrix of it.
 BLOCK, TILE = 1024, 1 << 20
 SKETCHED = "key binary, kmers int, words binary, sketches array<long>"
@@ -89,10 +95,26 @@ def sketch(kmers: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket_keys(kmers: np.ndarray, words: int) -> np.ndarray:
-    """What candidates share at least one of: all k-mers of short texts, sketches of others, both in between."""
-    every = [mix(label_occurrences(kmers) + U64(SHORT))] if words * SIMILARITY <= SHORT else []
-    return np.concatenate(every + ([sketch(kmers)] if words > SHORT else []))
+@functools.cache
+def _choices(n: int) -> np.ndarray:
+    """All ways to choose SHARED of n places, one a row: at most 210, as a short text has at most 10 places."""
+    return np.array(list(itertools.combinations(range(n), SHARED)), dtype=np.int64).reshape(-1, SHARED)
+
+
+def short_keys(words: np.ndarray) -> np.ndarray:
+    """Keys of which two texts of similarity 0.8 or more share at least one; none below SHARED words, where only copies are similar."""
+    labelled = label_occurrences(words)
+    least = labelled[np.argsort(mix(labelled ^ U64(SHORT)), kind="stable")[: int(len(words) * (1 - SIMILARITY) + 1e-9) + SHARED]]
+    total = np.full(len(_choices(len(least))), SHORT, dtype=U64)
+    for word in least[_choices(len(least))].T:
+        total = mix(total * U64(0x9E3779B97F4A7C15) + word)
+    return total
+
+
+def bucket_keys(words: np.ndarray, kmers: np.ndarray) -> np.ndarray:
+    """What candidates share at least one of: keys of single words of short texts, sketches of others, both in between."""
+    every = [short_keys(words)] if len(words) * SIMILARITY <= SHORT else []
+    return np.concatenate(every + ([sketch(kmers)] if len(words) > SHORT else []))
 
 
 def sketched(texts: pd.Series) -> pd.DataFrame:
@@ -107,12 +129,13 @@ def sketched(texts: pd.Series) -> pd.DataFrame:
             runs, number = shingles(words, counts, KMER)
             word_at, run_at = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(number)))
             for i in range(len(counts)):
-                own, kmers = words[word_at[i] : word_at[i + 1]].astype("<u4").tobytes(), runs[run_at[i] : run_at[i + 1]]
+                mine, kmers = words[word_at[i] : word_at[i + 1]], runs[run_at[i] : run_at[i + 1]]
+                own = mine.astype("<u4").tobytes()
                 content = own or b"\0" + raw[a + i].encode()
                 keys.append(hashlib.blake2b(content, digest_size=16).digest())
                 sizes.append(len(kmers))
                 words_out.append(own)
-                sketches.append(bucket_keys(kmers, int(counts[i])).view(np.int64) if len(kmers) else np.zeros(0, dtype=np.int64))
+                sketches.append(bucket_keys(mine, kmers).view(np.int64) if len(kmers) else np.zeros(0, dtype=np.int64))
     return pd.DataFrame({"key": keys, "kmers": np.array(sizes, dtype=np.int32), "words": words_out, "sketches": sketches}, index=texts.index)
 
 

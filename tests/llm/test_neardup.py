@@ -1,7 +1,7 @@
 """Order MinHash classes and the alignment against brute force."""
 
+import itertools
 import random
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -58,21 +58,12 @@ def components(pairs):
 
 
 def brute(rows):
-    """Class by row number: all pairs that share any k-mer are aligned."""
+    """Class by row number: all pairs are aligned."""
     facts = neardup.sketched(pd.Series([t for _, t in rows]))
     words = [neardup._words(w) for w in facts["words"]]
-    holders, pairs = defaultdict(list), set()
-    for i, own in enumerate(facts["words"]):
-        for k in set(neardup._kmers(own).tolist()):
-            holders[k].append(i)
-    for group in holders.values():
-        pairs.update((a, b) for n, b in enumerate(group) for a in group[:n])
-    links = [(a, b) for a, b in pairs if neardup.similar(words[a], words[b])]
-    by_key = defaultdict(list)
-    for i, k in enumerate(facts["key"]):
-        by_key[k].append(i)
-    links += [(g[0], b) for g in by_key.values() for b in g[1:]]
-    found = components(links)
+    nodes = {k: i for i, k in reversed(list(enumerate(facts["key"])))}
+    links = [(a, b) for a, b in itertools.combinations(sorted(nodes.values()), 2) if len(words[a]) and len(words[b]) and neardup.similar(words[a], words[b])]
+    found = components(links + [(nodes[k], i) for i, k in enumerate(facts["key"]) if nodes[k] != i])
     return [found.get(i, i) for i in range(len(rows))]
 
 
@@ -130,6 +121,31 @@ def test_short_texts_of_different_length(spark):
     assert got == {d: d - d % 2 for d, _ in rows}
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(0, 40), min_size=1, max_size=30), st.data())
+def test_short_texts_share_a_key_wherever_they_are_similar(x, data):
+    y = list(x)
+    for _ in range(data.draw(st.integers(1, 6))):
+        at = data.draw(st.integers(0, len(y)))
+        y[at : at + data.draw(st.integers(0, 1))] = data.draw(st.lists(st.integers(0, 60), max_size=2))
+    both = [np.array(t, dtype=np.uint64) for t in (x, y)]
+    if y and x != y and min(len(x), len(y)) <= neardup.SHORT and neardup.similar(*both):
+        a, b = (set(neardup.bucket_keys(t, neardup._kmers(t.astype("<u4").tobytes())).tolist()) for t in both)
+        assert a & b
+
+
+def test_one_edit_anywhere_in_a_short_text(spark):
+    rng, rows = random.Random(8), []
+    for length in range(4, 25):
+        for at in range(length):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(length)]
+            edits = [words[:at] + ["new"] + words[at:]] + ([words[:at] + ["new"] + words[at + 1 :]] if length >= 9 else [])
+            rows += [(len(rows), len(rows), " ".join(words))]
+            rows += [(len(rows) + i, len(rows) - 1, " ".join(own)) for i, own in enumerate(edits)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, text string")).collect()}
+    assert got == {d: c for d, c, _ in rows}
+
+
 def test_awkward_rows(spark, awkward, no_docs):
     got = neardup.near_duplicates(awkward).collect()
     assert len(got) == awkward.count() and sum(r["kept"] for r in got) == len({(r["class_id"], r["class_size"]) for r in got if r["doc_id"] is not None or r["class_size"] == 1})
