@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["bars_plan", "indicators_plan", "crosssection_plan", "labels_plan", "events_plan", "factors_plan", "search_plan", "research_plan", "audit_plan", "ladders_plan", "signals_plan", "governance_plan", "panel_plan", "holdings_plan", "identity_plan", "ledger_plan", "reconcile_plan"]
+MODULES = ["bars_plan", "indicators_plan", "crosssection_plan", "labels_plan", "events_plan", "factors_plan", "search_plan", "research_plan", "audit_plan", "ladders_plan", "signals_plan", "governance_plan", "panel_plan", "holdings_plan", "identity_plan", "ledger_plan", "reconcile_plan", "live_plan"]
 
 
 def queries() -> dict:

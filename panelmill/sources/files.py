@@ -77,3 +77,20 @@ def load_rows(spark: SparkSession, folder: str, keys: Mapping[str, object]) -> D
         return rows if rows.count() == manifest["rows"] else None
     except AnalysisException:  # nothing was stored there, or the table is gone
         return None
+
+
+def save_epoch(rows: DataFrame, folder: str, epoch: int) -> None:
+    """Write a run's state under its epoch, then the line that names it. A repeated epoch takes the place of its first run."""
+    spark, name = rows.sparkSession, f"epoch-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/{name}")
+    spark.createDataFrame([(epoch, name)], "epoch long, table string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{folder}/epochs")
+
+
+def load_epoch(spark: SparkSession, folder: str, before: int) -> DataFrame | None:
+    """The state of the last epoch before one, so that a repeated run reads what its first one read; None if there is none."""
+    try:
+        lines = spark.read.parquet(f"{folder}/epochs").where(F.col("epoch") < before)
+    except AnalysisException:  # nothing was stored there
+        return None
+    name = lines.agg(F.max_by("table", F.struct("epoch", "at", "table"))).first()[0]
+    return None if name is None else spark.read.parquet(f"{folder}/{name}")
