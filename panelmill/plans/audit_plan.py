@@ -107,7 +107,7 @@ RELATIVE_SQL = with_(BARS, BENCH) + f"SELECT code, date, relative_20, relative_6
 
 def code_sets(spark, sf_dir):
     """Names by whether they traded in the first month, the last month, or both."""
-    rows = B.daily_bars(spark, sf_dir).select("code", F.trunc("date", "month").alias("month")).distinct()
+    rows = B.session_totals(spark, sf_dir).select("code", F.trunc("date", "month").alias("month")).distinct()
     ends = rows.agg(F.min("month").alias("a"), F.max("month").alias("z"))  # one row
     both = rows.join(F.broadcast(ends)).groupBy("code").agg(F.bool_or(F.col("month") == F.col("a")).alias("first"), F.bool_or(F.col("month") == F.col("z")).alias("last"))
     kind = F.when(F.col("first") & F.col("last"), "both").when(F.col("first"), "first").when(F.col("last"), "last").otherwise("neither")
