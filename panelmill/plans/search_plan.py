@@ -16,6 +16,7 @@ from panelmill.plans.indicators_plan import E9, E12, E26, OVER, TR, over
 from panelmill.plans.labels_plan import WEEKLY, _monthly
 from panelmill.plans.sql import BARS, BENCH, with_
 from panelmill.sources import bars as B
+from panelmill.sources import cuts
 
 
 def environment_scores(spark, sf_dir):
@@ -119,7 +120,8 @@ EXITS_SQL = with_(BARS) + f"""SELECT code, date, entry_date, CASE WHEN hit IS NO
 
 
 def _labelled(spark, sf_dir):
-    return X.panel(spark, sf_dir).where("forward IS NOT NULL").select("date", "code", "forward", *X.PRIMITIVES)
+    """Labelled rows of the panel, derived once: a search reads them several times a generation."""
+    return cuts.stored(X.panel(spark, sf_dir).where("forward IS NOT NULL").select("date", "code", "forward", *X.PRIMITIVES))
 
 
 def factor_diversity(spark, sf_dir):

@@ -3,8 +3,11 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from panelmill.operators import search as H
+from panelmill.plans import registry
 from panelmill.sources import bars as B
 
+SF = "/root/testdata/sf0.001"
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"
 
 
@@ -34,6 +37,20 @@ def test_open_and_close_follow_the_whole_order(spark, tables, monkeypatch, few):
 
 def test_trades_are_hashed_not_sorted(spark):
     """Only the trades at the ends of a session's leading key are sorted: a task's memory doesn't grow with the trades it reads."""
-    plan = B.daily_bars(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    plan = B.daily_bars(spark, SF)._jdf.queryExecution().sparkPlan().toString()
     first = plan.index("BroadcastHashJoin")  # the ends and their totals lie behind it, and the sorted aggregate before it
     assert "SortAggregate" in plan[:first] and "SortAggregate" not in plan[first:] and plan[first:].count("HashAggregate") == 2
+
+
+def _reads_trades(rows):
+    return "l_extendedprice" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_factor_search_reads_the_panel_not_the_trades(spark, monkeypatch):
+    """Every generation reads its rows several times."""
+    given = []
+    monkeypatch.setattr(H, "evolve", lambda rows, features: given.append(rows) or [{"expression": "x", "generation": 0, "fitness": 0.0, "ic_mean": 0.0, "turnover": 0.0}])
+    registry.queries()["genetic_factors"](spark, SF)
+    monkeypatch.setattr(H, "complementary_sets", lambda rows, features: given.append(rows) or [{"set": "x", "weights": [1.0], "ic_mean": 0.0, "gain": 0.0, "score": 0.0, "reasons": [""]}])
+    registry.queries()["complementary_factors"](spark, SF)
+    assert len(given) == 2 and not any(_reads_trades(rows) for rows in given) and given[0].count() > 0
