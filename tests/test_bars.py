@@ -54,3 +54,8 @@ def test_a_factor_search_reads_the_panel_not_the_trades(spark, monkeypatch):
     monkeypatch.setattr(H, "complementary_sets", lambda rows, features: given.append(rows) or [{"set": "x", "weights": [1.0], "ic_mean": 0.0, "gain": 0.0, "score": 0.0, "reasons": [""]}])
     registry.queries()["complementary_factors"](spark, SF)
     assert len(given) == 2 and not any(_reads_trades(rows) for rows in given) and given[0].count() > 0
+
+
+def test_signal_states_read_the_trades_for_the_bars_alone(spark):
+    """Its dozen inputs all start from the bars."""
+    assert not _reads_trades(registry.queries()["signal_states"](spark, SF))
