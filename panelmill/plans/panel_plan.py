@@ -17,6 +17,7 @@ from panelmill.plans.factors_plan import _unit
 from panelmill.plans.indicators_plan import PRIM, PRIMITIVES, TR, over, primitives
 from panelmill.plans.sql import BARS, BENCH, with_
 from panelmill.sources import bars as B
+from panelmill.sources import cuts
 
 TEXTS = ["code", "market_state", "permission", "setup"]
 DATES = ["signal_date", "bar_date"]
@@ -25,9 +26,10 @@ NUMBERS = [*P.LEAVES, "weekly_preview", "monthly_preview", "max_exposure", "setu
 FLAGS = ["executable", "baseline", "early_stop", "win_10d"]
 
 
+@cuts.sharing
 def panel(spark, sf_dir) -> DataFrame:
-    """The panel unrounded; its bars, benchmark and labels come from the tables."""
-    bars, bench = B.daily_bars(spark, sf_dir).persist(), B.benchmark(spark, sf_dir).persist()
+    """The panel unrounded; its bars, benchmark and labels come from the tables, whose trades are read for the bars alone."""
+    bars, bench = B.daily_bars(spark, sf_dir), B.benchmark(spark, sf_dir)
     labels = L.forward_labels(spark, sf_dir).select("code", "date", "early_stop", (F.col("return_10d") > 0).cast("int").alias("win_10d"), *LABELS[2:])
     features = primitives(spark, sf_dir).select("code", "date", *PRIMITIVES)
     crossed = D.adjustment_crossed(spark, sf_dir).where("crossed").select("code", "date")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelmill.operators import search as H
+from panelmill.plans import panel_plan as P
 from panelmill.plans import registry
 from panelmill.sources import bars as B
 
@@ -59,3 +60,7 @@ def test_a_factor_search_reads_the_panel_not_the_trades(spark, monkeypatch):
 def test_signal_states_read_the_trades_for_the_bars_alone(spark):
     """Its dozen inputs all start from the bars."""
     assert not _reads_trades(registry.queries()["signal_states"](spark, SF))
+
+
+def test_the_calibration_panel_reads_the_trades_for_the_bars_alone(spark):
+    assert not _reads_trades(P.panel(spark, SF))
