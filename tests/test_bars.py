@@ -43,6 +43,11 @@ def test_trades_are_hashed_not_sorted(spark):
     assert "SortAggregate" in plan[:first] and "SortAggregate" not in plan[first:] and plan[first:].count("HashAggregate") == 2
 
 
+def test_the_stop_sorts_no_trades(spark):
+    plan = registry.queries()["chandelier_stop"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan[plan.index("BroadcastHashJoin"):]
+
+
 def _reads_trades(rows):
     return "l_extendedprice" in rows._jdf.queryExecution().optimizedPlan().toString()
 
