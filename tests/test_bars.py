@@ -48,6 +48,16 @@ def test_the_stop_sorts_no_trades(spark):
     assert "SortAggregate" not in plan[plan.index("BroadcastHashJoin"):]
 
 
+def test_many_parts_are_dealt_not_sent_to_every_task(spark, tables, monkeypatch):
+    """What a task holds of the parts doesn't grow with their number, and no trades are sorted for it."""
+    few = sorted(map(tuple, B.daily_bars(spark, tables).collect()), key=repr)
+    monkeypatch.setattr(B, "FEW_PARTS", 2)
+    many = B.daily_bars(spark, tables)
+    plan = many._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan
+    assert sorted(map(tuple, many.collect()), key=repr) == few
+
+
 def _reads_trades(rows):
     return "l_extendedprice" in rows._jdf.queryExecution().optimizedPlan().toString()
 
