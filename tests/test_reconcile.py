@@ -3,6 +3,7 @@
 import datetime
 
 from panelmill.operators import reconcile as R
+from panelmill.plans import registry
 
 DAY = datetime.date(2024, 1, 10)
 SCHEMAS = [
@@ -52,3 +53,25 @@ def test_findings(spark):
         got.setdefault(r["statement"], []).append(r["finding"])
     assert {n: sorted(got.get(n, [])) for n in range(len(CASES))} == {n: want for n, (_, want) in enumerate(CASES)}
     assert R.findings(*[s.limit(0) for s in sets]).count() == 0
+
+
+def _found(spark, planned, fills, outcomes, comparison, completion="COMPLETE"):
+    rows = [[(1, DAY, completion)], *[[(1, *r) for r in part] for part in (planned, fills, outcomes, comparison)]]
+    return sorted((r["code"], r["finding"]) for r in R.findings(*[spark.createDataFrame(r, s) for r, s in zip(rows, SCHEMAS, strict=True)]).collect())
+
+
+def test_of_several_rows_the_first_position_counts_whole(spark):
+    """Its numbers are taken together, though later rows hold smaller and larger ones; a null side is a key of its own."""
+    outs = [(None, None, 2, 30, 0, "UNFILLED"), (None, None, 1, 100, 0, "filled"), (None, None, 3, 0, 100, "UNFILLED")]
+    made = [(None, None, 4, 1, 1, 1, None), (None, None, 0, 100, 100, 0, "FILLED")]
+    plan, fill = (None, None, 100), (None, None, 100, 2.0, 0.0, DAY)
+    assert _found(spark, [plan], [fill], outs, made) == [(None, "COMPARISON_DUPLICATE"), (None, "OUTCOME_DUPLICATE")]
+    wrong = [(None, None, 0, *outs[0][3:]), *outs[1:]]
+    assert _found(spark, [plan], [fill], wrong, made[1:], "PARTIAL") == [(None, "COMPARISON_INVALID"), (None, "OUTCOME_DUPLICATE"), (None, "OUTCOME_INVALID")]
+
+
+def test_line_items_are_read_for_the_lines_alone_and_keys_are_hashed(spark):
+    """No task sorts the rows of the sets or holds all orders, and the findings start from the keys as merged once."""
+    plan = registry.queries()["four_set_findings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert "l_orderkey" not in plan.optimizedPlan().toString()
+    assert not any(step in plan.sparkPlan().toString() for step in ("SortAggregate", "SortMergeJoin", "BroadcastHashJoin"))
