@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from panelmill.operators import reconcile as R
 from panelmill.sources import bars as B
-from panelmill.sources.cuts import stored
 
 #: The five sets as SQL that both engines run; the rules are written apart for each.
 SETS = {
@@ -18,17 +17,12 @@ SETS = {
 }
 
 
-#: Sets that several others read; they are derived once and stored.
-READ_OFTEN = ("lines", "keys")
-
-
 def four_set_findings(spark, sf_dir):
     """Every rule that a statement's plans, fills, outcomes and comparisons break."""
-    # Orders are hashed within the partitions of a shuffle: no task holds all of them, and no line items are sorted.
+    # Orders are hashed within the partitions of a shuffle: no task holds all of them, no line items are sorted, and all sets lie by statement.
     sets = {"lineitem": B.table(spark, sf_dir, "lineitem"), "orders": B.table(spark, sf_dir, "orders").hint("shuffle_hash")}
     for name, text in SETS.items():
-        rows = spark.sql(text, **{k: v for k, v in sets.items() if "{" + k + "}" in text})
-        sets[name] = stored(rows) if name in READ_OFTEN else rows
+        sets[name] = spark.sql(text, **{k: v for k, v in sets.items() if "{" + k + "}" in text})
     return R.findings(*[sets[k] for k in ("statements", "planned", "fills", "outcomes", "comparison")])
 
 
